@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, toxicity
+from . import bpe, decontaminate, quality, simhash, toxicity
 
-MODULES = (quality, toxicity, bpe, decontaminate)
+MODULES = (quality, simhash, toxicity, bpe, decontaminate)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
