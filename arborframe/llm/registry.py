@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, quality, simhash, toxicity
+from . import bpe, decontaminate, embeddings, quality, simhash, toxicity, warc
 
-MODULES = (quality, embeddings, simhash, toxicity, bpe, decontaminate)
+MODULES = (quality, embeddings, warc, simhash, toxicity, bpe, decontaminate)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
