@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what is large or read by columns."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Rows of a few numbers (48 bytes at most) that the side of a join may have to be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised side of a join, broadcast if it has at most ``rows`` rows and shuffled otherwise."""
+    small = checkpointed(small)
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def text_key(text: Column) -> Column:
     """64-bit key that tells apart rows which share a doc_id but not their text."""
     return F.xxhash64(F.lit("row"), F.coalesce(text, F.lit("")))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, lines, quality, simhash, spans, toxicity, warc
+from . import bpe, decontaminate, embeddings, lines, pii, quality, simhash, spans, toxicity, warc
 
-MODULES = (quality, embeddings, warc, lines, spans, simhash, toxicity, bpe, decontaminate)
+MODULES = (quality, embeddings, pii, warc, lines, spans, simhash, toxicity, bpe, decontaminate)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
