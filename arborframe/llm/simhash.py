@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, table
+from .common import checkpointed, connected_components, sized, table, text_key
 
 SHINGLE = 4
 RADIUS = 4
@@ -241,13 +241,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     any other. A null id is carried along and is no component's id unless all its ids are null. An empty table gives
     an empty result.
     """
-    fps = checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=("doc_id",), n=n))
+    found = _placed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ("doc_id",), radius, n)
+    return found.select("doc_id", "fp", "component_id")
+
+
+def _placed(docs: DataFrame, keep: tuple[str, ...], radius: int, n: int) -> DataFrame:
+    """``keep``, ``fp``, ``component`` (a fingerprint of it) and ``component_id`` (its smallest doc_id)."""
+    fps = checkpointed(fingerprints(docs, keep=keep, n=n))
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = connected_components(links(checkpointed(reps.select("fp")), radius))
     placed = reps.join(found, reps["fp"] == found["vertex"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_fp = placed.join(least, "component").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(placed.join(least, "component").select("fp", "component", "component_id"), "fp").select(*keep, "fp", "component", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
+    """``docs`` (doc_id, text and others) with one document of each component: that of the smallest id, then text key.
+
+    A null id comes last. Of rows that share id and text one stays. Ids and fingerprints are grouped, texts are not:
+    the rows that go are joined against by key, and broadcast while they are few.
+    """
+    key = text_key(F.col("text"))
+    found = checkpointed(_placed(docs.select("doc_id", key.alias("th"), "text"), ("doc_id", "th"), radius, n))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    stays = found.groupBy("component").agg(F.min(rank).alias("first")).select("component", "first")
+    gone = found.join(stays, "component").where(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    keyed = docs.withColumn("__key", key)
+    kept = keyed.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_anti")
+    if not found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.drop("__key")
 
 
 def hex16(fp: Column) -> Column:
