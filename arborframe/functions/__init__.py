@@ -1 +1 @@
-
+"""Column functions for identifiers, lineages and labels."""

@@ -1 +1 @@
-
+"""Readers and writers of sequence, table and tree files."""

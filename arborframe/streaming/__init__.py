@@ -1 +1 @@
-
+"""Streaming counterparts of the event operators."""
