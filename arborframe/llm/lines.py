@@ -8,48 +8,85 @@ bit-parallel edit distance (2003).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash128, shared_dir, table, text_key
+from .common import checkpointed, hash128, sized, stored, table, text_key
 
 EDITS = 2
 #: Characters from which lines are compared for edits; shorter ones only match exactly.
 LEAST_NEAR = 24
+#: Letters whose counts tell lines apart that share a segment.
+LETTERS = "etaonirshdlu"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
     """1-based start and size of segment ``i`` (1-based) of lines of ``n`` characters; the last ones are longer."""
     parts = edits + 1
     base, extra = F.floor(n / parts).cast("int"), n % parts
-    start = base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1 - parts) + extra) + 1
-    return start, base + F.when(F.lit(i) > F.lit(parts) - extra, 1).otherwise(0)
+    return base * (i - 1) + F.greatest(F.lit(0), i - 1 - parts + extra) + 1, base + F.when(i > parts - extra, 1).otherwise(0)
 
 
-def _index_keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*(F.xxhash64(n, F.lit(i), line.substr(*_segment(n, i, edits))) for i in range(1, edits + 2)))
+def _keyed(lines: DataFrame, edits: int, name: str, probe: bool) -> DataFrame:
+    """(hash as ``name``, key) of every segment of every line, or of every substring that can equal a segment of a line
+    at most ``edits`` shorter (multi-match-aware).
 
-
-def _probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the substrings that a segment of a line at most ``edits`` shorter can equal (multi-match-aware)."""
-    keys = []
-    for shorter in range(edits + 1):
+    Each row takes one choice of length, segment and shift from a literal table, which keeps the generated code small
+    enough to be compiled.
+    """
+    chosen = []
+    for shorter in range(edits + 1 if probe else 1):
         for i in range(1, edits + 2):
             left, right = i - 1, edits + 1 - i
-            for shift in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                start, size = _segment(n - shorter, i, edits)
-                start = start + shift
-                keys.append(F.when((start >= 1) & (start + size - 1 <= n), F.xxhash64(n - shorter, F.lit(i), line.substr(start, size))))
-    return F.array_compact(F.array(*keys))
+            shifts = range(max(-left, shorter - right), min(left, shorter + right) + 1) if probe else (0,)
+            chosen += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in shifts]
+    each = lines.select(F.col("h1").alias(name), F.col("profile").alias(f"profile_{name}"), "line", "size", F.explode(F.array(*chosen)).alias("c"))
+    each = each.select(name, f"profile_{name}", "line", "size", (F.col("size") - F.col("c.shorter")).alias("n"), F.col("c.i").alias("i"), F.col("c.shift").alias("shift"))
+    start, long = _segment(F.col("n"), F.col("i"), edits)
+    placed = each.select(name, f"profile_{name}", "line", "size", "n", "i", (start + F.col("shift")).alias("start"), long.alias("long"))
+    return placed.where("start >= 1 AND start + long - 1 <= size").select(
+        name, f"profile_{name}", F.xxhash64("n", "i", F.col("line").substr(F.col("start"), F.col("long"))).alias("key")
+    )
+
+
+def profile(line: Column) -> Column:
+    """Counts of frequent letters modulo 32, five bits each."""
+    size = F.octet_length(line)
+    bits = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31).cast("long")), 5 * k))
+    return bits
+
+
+def _profiles_agree(a: Column, b: Column, edits: int) -> Column:
+    """Whether the letter counts differ by at most two an edit in sum; no pair within the distance fails."""
+    total = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        d = (F.shiftright(a, 5 * k) - F.shiftright(b, 5 * k)).bitwiseAND(F.lit(31).cast("long"))
+        total = total + F.least(d, F.lit(32).cast("long") - d)
+    return total <= 2 * edits
+
+
+def _common_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix: from large powers of two to small ones, a step is taken if it still fits."""
+    n = F.least(F.length(a), F.length(b))
+    steps = F.array(*(F.lit(1 << k) for k in range(26, -1, -1)))
+    fits = lambda at, step: (at + step <= n) & (a.substr(at + 1, step) == b.substr(at + 1, step))
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(fits(at, step), step).otherwise(0))
+
+
+def edit_distance(a: Column, b: Column, edits: int) -> Column:
+    """:func:`banded_distance` of what is left between a common prefix and a common suffix.
+
+    A margin of ``edits`` + 1 characters stays on both sides, since the band needs them.
+    """
+
+    def cut(x: Column) -> Column:
+        at = F.greatest(_common_prefix(x["a"], x["b"]) - (edits + 1), F.lit(0))
+        return _let(at, lambda k: F.struct(F.reverse(x["a"].substr(k + 1, F.length(x["a"]))).alias("a"), F.reverse(x["b"].substr(k + 1, F.length(x["b"]))).alias("b")))
+
+    return _let(_let(_let(F.struct(a.alias("a"), b.alias("b")), cut), cut), lambda x: banded_distance(x["a"], x["b"], edits))
 
 
 def _let(value: Column, body) -> Column:
@@ -126,33 +163,42 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return trimmed.select("doc_id", "th", "pos", "line", h1.alias("h1"), h2.alias("h2"))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """One row a line text: hash, text, number of occurrences, and the first by (doc_id, text key, position)."""
-    return (
-        occurrences(docs).groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.min("line").alias("line"), F.count("*").alias("n"))
-        .withColumn("size", F.length("line"))
-    )
+def places(docs: DataFrame) -> DataFrame:
+    """Hash, number of occurrences and first place by (doc_id, text key, position) of every line, without its text."""
+    return stored(occurrences(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.count("*").alias("n")))
+
+
+def first_lines(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Every line with its text, where it stands first. Texts are read again instead of shuffled: only lines that come
+    more than once must be looked up."""
+    often = sized(placed.where("n > 1").select("h1", "h2", "first"))
+    here = F.struct("doc_id", "th", "pos")
+    found = occurrences(docs).join(often, ["h1", "h2"], "left").where(F.col("first").isNull() | here.eqNullSafe(F.col("first")))
+    return found.select("h1", "h2", "line", F.length("line").alias("size"), here.alias("first"))
 
 
 def edit_join(lines: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) -> DataFrame:
     """Pairs of distinct lines within ``edits`` edits: the hashes and first places of both, and the distance.
 
     ``lines`` has h1, h2, line, size and first. Keys carry one hash of the line, and a line that meets another by a
-    collision is verified like any candidate. A segment that very many lines share makes that many candidates; AQE
-    splits its join.
+    collision is verified like any candidate. Texts are fetched for candidates only. A segment that very many lines
+    share makes that many candidates; AQE splits its join.
     """
     if least <= 2 * (edits + 1):
         raise ValueError("lines this short have segments of a letter")
-    long = lines.where(F.col("size") >= least)
-    probes = long.select(F.col("h1").alias("a"), F.explode(_probe_keys(F.col("line"), F.col("size"), edits)).alias("key"))
-    index = lines.where(F.col("size") >= least).select(F.col("h1").alias("b"), F.explode(_index_keys(F.col("line"), F.col("size"), edits)).alias("key"))
-    pairs = probes.join(index, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda h: long.select(F.col("h1").alias(h), F.struct("h1", "h2", "first", "line").alias(f"of_{h}"))
-    texts = pairs.join(side("a"), "a").join(side("b"), "b")
+    long = stored(lines.where(F.col("size") >= least).withColumn("profile", profile(F.col("line"))))
+    met = _keyed(long, edits, "a", True).join(_keyed(long, edits, "b", False), "key")
+    met = met.where((F.col("a") != F.col("b")) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
+    pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    needed = sized(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
+    texts = checkpointed(long.join(needed, "h1", "left_semi").dropDuplicates(["h1", "h2"]))
+    side = lambda h: texts.select(F.col("h1").alias(h), F.struct("h1", "h2", "first", "line").alias(f"of_{h}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     a, b = F.col("of_a.line"), F.col("of_b.line")
-    checked = texts.where((F.abs(F.length(a) - F.length(b)) <= edits) & _pieces_agree(a, b, edits)).withColumn("distance", banded_distance(a, b, edits))
-    return checked.where(F.col("distance") <= edits).select(F.struct("of_a.h1", "of_a.h2", "of_a.first").alias("x"), F.struct("of_b.h1", "of_b.h2", "of_b.first").alias("y"), "distance")
+    checked = both.where((F.abs(F.length(a) - F.length(b)) <= edits) & _pieces_agree(a, b, edits))
+    # a generator is not copied into filters, so every distance is computed once
+    near = F.explode(F.filter(F.array(edit_distance(a, b, edits)), lambda d: d <= edits))
+    return checked.select(F.struct("of_a.h1", "of_a.h2", "of_a.first").alias("x"), F.struct("of_b.h1", "of_b.h2", "of_b.first").alias("y"), near.alias("distance"))
 
 
 def verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) -> DataFrame:
@@ -161,17 +207,17 @@ def verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) -> Da
     A line goes if it occurred before, or if a line within ``edits`` edits of it occurred before it did. Rows that
     share doc_id and text are one document; a null doc_id sorts first.
     """
-    lines = stored(distinct_lines(docs))
-    links = edit_join(lines, edits, least)
+    placed = places(docs)
+    links = edit_join(first_lines(docs, placed), edits, least)
     ends = links.select(F.explode(F.array(F.struct("x.h1", "x.h2", (F.col("x.first") > F.col("y.first")).alias("late")), F.struct("y.h1", "y.h2", (F.col("y.first") > F.col("x.first")).alias("late")))).alias("e")).select("e.*")
     near = ends.groupBy("h1", "h2").agg(F.count("*").alias("links"), F.max("late").alias("late"))
-    known = (
-        lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL")
+    known = sized(
+        placed.join(near, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL")
         .select("h1", "h2", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
     )
     again = ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first"))
     return (
-        occurrences(docs).select("doc_id", "th", "pos", "h1", "h2").distinct().join(known, ["h1", "h2"])
+        occurrences(docs).select("doc_id", "th", "pos", "h1", "h2").join(known, ["h1", "h2"]).distinct()
         .groupBy("doc_id", "th")
         .agg(
             F.count_if(again).alias("n_repeated"), F.count_if(~again & F.col("late")).alias("n_near"), F.sum("links").alias("n_links"),
