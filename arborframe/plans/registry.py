@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchy
+from . import hierarchy, tables
 
-MODULES: tuple = (hierarchy,)
+MODULES = (hierarchy, tables)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The best representative of every query genome, with its radius verdict."""
+    return tables.ani_closest(spark, sf_dir)
