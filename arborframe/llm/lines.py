@@ -32,7 +32,7 @@ def _keyed(lines: DataFrame, edits: int, name: str, probe: bool) -> DataFrame:
     at most ``edits`` shorter (multi-match-aware).
 
     Each row takes one choice of length, segment and shift from a literal table, which keeps the generated code small
-    enough to be compiled.
+    enough to be compiled. The profile's top bits note how much shorter the other line is.
     """
     chosen = []
     for shorter in range(edits + 1 if probe else 1):
@@ -40,8 +40,9 @@ def _keyed(lines: DataFrame, edits: int, name: str, probe: bool) -> DataFrame:
             left, right = i - 1, edits + 1 - i
             shifts = range(max(-left, shorter - right), min(left, shorter + right) + 1) if probe else (0,)
             chosen += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in shifts]
-    each = lines.select(F.col("h1").alias(name), F.col("profile").alias(f"profile_{name}"), "line", "size", F.explode(F.array(*chosen)).alias("c"))
-    each = each.select(name, f"profile_{name}", "line", "size", (F.col("size") - F.col("c.shorter")).alias("n"), F.col("c.i").alias("i"), F.col("c.shift").alias("shift"))
+    each = lines.select(F.col("h1").alias(name), "profile", "line", "size", F.explode(F.array(*chosen)).alias("c"))
+    noted = F.col("profile").bitwiseOR(F.shiftleft(F.col("c.shorter").cast("long"), 60)).alias(f"profile_{name}")
+    each = each.select(name, noted, "line", "size", (F.col("size") - F.col("c.shorter")).alias("n"), F.col("c.i").alias("i"), F.col("c.shift").alias("shift"))
     start, long = _segment(F.col("n"), F.col("i"), edits)
     placed = each.select(name, f"profile_{name}", "line", "size", "n", "i", (start + F.col("shift")).alias("start"), long.alias("long"))
     return placed.where("start >= 1 AND start + long - 1 <= size").select(
@@ -184,11 +185,13 @@ def edit_join(lines: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) ->
     collision is verified like any candidate. Texts are fetched for candidates only. A segment that very many lines
     share makes that many candidates; AQE splits its join.
     """
-    if least <= 2 * (edits + 1):
-        raise ValueError("lines this short have segments of a letter")
+    if least <= 2 * (edits + 1) or edits > 7:
+        raise ValueError("lines this short have segments of a letter, or the edits are more than a profile notes")
     long = stored(lines.where(F.col("size") >= least).withColumn("profile", profile(F.col("line"))))
     met = _keyed(long, edits, "a", True).join(_keyed(long, edits, "b", False), "key")
-    met = met.where((F.col("a") != F.col("b")) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
+    # lines of one length probe each other: one direction is enough
+    once = (F.shiftright("profile_a", 60) > 0) | (F.col("a") > F.col("b"))
+    met = met.where(once & (F.col("a") != F.col("b")) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
     pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = sized(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     texts = checkpointed(long.join(needed, "h1", "left_semi").dropDuplicates(["h1", "h2"]))
