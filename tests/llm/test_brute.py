@@ -1,0 +1,198 @@
+"""Operators against SQL, public libraries, brute force and held-out labels."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from arborframe.llm import bpe, decontaminate, embeddings, lines, pii, registry, simhash, spans
+from arborframe.llm.common import connected_components, table
+
+MORE = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_agrees_with_sql(spark, sf_dir, agree, name):
+    agree(registry.QUERIES[name](spark, sf_dir), registry.SQL[name])
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op1_quality", "quality", 0.85), ("op8_toxicity", "toxic", 0.95)])
+def test_held_out_accuracy(spark, name, label, least):
+    out = registry.QUERIES[name](spark, MORE).join(table(spark, MORE, "labels"), "doc_id").where("held_out").toPandas().dropna(subset=[label])
+    assert len(out) > 50 and out["score"].between(0, 1).all()
+    assert ((out["score"] >= 0.5) == out["predicted"]).all()
+    assert (out["predicted"] == out[label]).mean() >= least
+
+
+def test_bpe_against_tiktoken(spark, sf_dir):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    for r in registry.QUERIES["op9_bpe"](spark, sf_dir).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        ids = known.encode_ordinary(raw.decode())
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+    own = bpe.codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    odd = ["", " " * 700, "a" * 2000, "aaaaaaab" * 300, "漢字" * 400, "\U0001f600" * 200, "\r\n\t \n", *("".join(rng.choice("abAB 1.é\n'") for _ in range(n)) for n in range(1, 80))]
+    for text, ids in zip(odd, own.encode_batch(odd), strict=True):
+        assert ids.tolist() == known.encode_ordinary(text)
+        assert own.decode(ids) == text.encode()
+
+
+def components(n: int, edges: list[tuple[int, int]]) -> list[int]:
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(400, k) for k in range(401, 700)] + [(k, k + 1) for k in range(700, 900)]
+    found = {r["vertex"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert [found.get(i, i) for i in range(901)] == components(901, edges)
+
+
+def plain_fingerprint(text: str | None) -> int:
+    import re
+
+    import xxhash
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_by_brute_force(spark):
+    docs = sorted((r["doc_id"], r["text"]) for r in table(spark, MORE, "documents").select("doc_id", "text").collect())
+    fps = [plain_fingerprint(t) for _, t in docs]
+    root = components(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    out = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in registry.QUERIES["op7_simhash"](spark, MORE).collect()}
+    assert out == {d: (f"{f:016x}", docs[k][0]) for (d, _), f, k in zip(docs, fps, root, strict=True)}
+
+
+def test_simhash_links_within_any_block(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), k)) for f in fps[:200] for k in (3, 4, 5)]
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    edges = [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 4]
+    for shard in (16, 1024):
+        found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), shard=shard).collect()
+        at = {f: i for i, f in enumerate(fps)}
+        assert components(len(fps), [(at[r["a"]], at[r["b"]]) for r in found]) == components(len(fps), edges)
+
+
+def levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_by_brute_force(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcde fgh") for _ in range(rng.randrange(24, 40))).strip().ljust(24, "z") for _ in range(12)]
+
+    def edited(s: str) -> str:
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(1, len(s) - 1)
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("abz") + s[i:], s[:i] + rng.choice("abz") + s[i + 1 :]])
+        return s
+
+    docs = [(d, "\n".join(edited(rng.choice(base)) for _ in range(5)) + "\n\nshort") for d in range(30)]
+    first: dict[str, tuple] = {}
+    for d, text in docs:
+        for p, line in enumerate(text.split("\n")):
+            first.setdefault(line.strip(" \t\r"), (d, p))
+    late = {y for y in first for x in first if first[x] < first[y] and min(len(x), len(y)) >= lines.LEAST_NEAR and levenshtein(x, y) <= lines.EDITS}
+    want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if not x or first[x.strip(" \t\r")] == (d, p) and x.strip(" \t\r") not in late) for d, t in docs}
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_spans_by_brute_force(spark, sf_dir):
+    docs = sorted((r["doc_id"], r["text"]) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    first: dict[str, tuple] = {}
+    for d, t in docs:
+        for k, _, x in spans.runs(t or ""):
+            first.setdefault(x, (d, k))
+    out = {r["doc_id"]: r["text"] for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        gone = {i for k, e, x in spans.runs(t or "") if first[x] != (d, k) for i in range(k, e)}
+        assert out[d] == (None if t is None else "".join(t[a:b] for i, (a, b) in enumerate(spans.sentences(t)) if i not in gone))
+
+
+def test_spans_of_a_shared_passage(spark):
+    passage = " ".join(f"Sentence {k} of the shared passage has some words." for k in range(8))
+    docs = [(1, f"Own start here. {passage} Own end here."), (2, f"Other start here. {passage} Other end here."), (3, "Nothing shared in this one. It stays whole as it is.")]
+    out = {r["doc_id"]: r for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[1]["text"] == docs[0][1] and out[3]["text"] == docs[2][1]
+    assert out[2]["text"].split() == "Other start here. Other end here.".split() and out[2]["repeats_of"] == [1]
+
+
+def test_decontamination_in_several_passes(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = lambda out: sorted((r["doc_id"], r["n_hit"], tuple(sorted(r["items"])), tuple(map(tuple, r["hit_spans"]))) for r in out.collect())
+    assert rows(decontaminate.decontaminate(docs, items)) == rows(decontaminate.decontaminate(docs, items, max_chars=1500))
+
+
+def test_embeddings_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[150:250] = x[:100] + rng.normal(size=(100, 16)).astype(np.float32) * 0.2
+    x[250:] = x[0]
+    rows = [(i, [float(v) for v in x[i]], int(i % 2) if i < 250 else 0) for i in range(300)]
+    rows += [(300, None, 0), (301, [], 0), (302, [0.0] * 16, 0), (303, [float("nan")] * 16, 0), (304, [None] * 16, 0), (305, rows[0][1], None), (306, rows[0][1][:8], 0)]
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows[:300]])
+    near = (u @ u.T >= embeddings.THRESHOLD) & (label[:, None] == label) & ~np.eye(300, dtype=bool)
+    root = components(300, list(zip(*np.nonzero(near), strict=True)))
+    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert out == {**{i: (int(near[i].sum()), root[i], root[i] == i) for i in range(300)}, **{i: (0, i, True) for i in range(300, 307)}}
+
+
+def test_surrogates(spark):
+    texts = ["Mail Ann.Lee@corp.org or ann.lee@corp.org now", "Herr Max Stein traf Frau Eva Stein", "call +49 30 1234567 or +49-30-1234567", "ip 10.1.2.3 card 4111 1111 1111 1111", "call 2024 numbers 12345 as they are"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.replace(docs).collect()}
+    mails = out[0].split()[1], out[0].split()[3]
+    assert mails[0].lower() == mails[1].lower() and "ann" not in out[0].lower() and "@" in mails[0]
+    assert out[1].startswith("Herr ") and " traf Frau " in out[1] and "Max Stein" not in out[1] and out[1].split()[1].lower() in pii.GIVEN["latin", "m"]
+    first, second = out[2][5:20], out[2][-14:]
+    digits = lambda s: "".join(filter(str.isdigit, s))
+    assert digits(out[2])[:10] == digits(out[2])[len(digits(out[2])) // 2 :][:10] and first != "+49 30 1234567" and second
+    assert "10.1.2.3" not in out[3] and "4111 1111 1111 1111" not in out[3]
+    assert out[4] == texts[4]
+    assert {r["doc_id"]: r["text"] for r in pii.replace(docs).collect()} == out
+    assert {r["doc_id"]: r["text"] for r in pii.replace(docs, b"another key").collect()} != out
+
+
+def test_surrogates_are_distinct(spark):
+    docs = spark.createDataFrame([(i, f"from 10.0.{i // 250}.{i % 250} and user{i}@mail.org") for i in range(2000)], "doc_id long, text string")
+    found = pii.entities(docs)
+    chosen = pii.surrogates(found)
+    assert chosen.count() == chosen.select("kind", "surrogate").distinct().count() == 4000
+    assert chosen.join(chosen.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"]).isEmpty()
