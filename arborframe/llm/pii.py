@@ -8,6 +8,7 @@ again, so distinct entities stay distinct in the whole corpus.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from .common import checkpointed, stored, table, text_key
 
 #: For tests and queries; production passes its own secret.
 KEY = b"not a secret"
-#: Draws after which a format counts as exhausted.
+#: Draws after which a format counts as exhausted and is widened.
 MAX_DRAWS = 30
+#: Characters by which each draw after those widens a format.
+WIDER = 4
 
 # Titles that precede a name, by gender, and given names that stand in, by script and gender.
 MALE = ("Mr", "Mister", "Herr", "Señor", "Sr", "Monsieur", "Господин")
@@ -43,7 +46,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kind of entity and its pattern, the first that fits whole decides.
 KINDS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d.]*\d)",
@@ -130,7 +133,8 @@ def canonical(raw: Column, kind: Column) -> Column:
 
 
 def draw(kind: Column, canon: Column, key: bytes, attempt: int) -> Column:
-    """A surrogate in canonical form."""
+    """A surrogate in canonical form, of the format's width for ``MAX_DRAWS`` attempts and of a wider one after them."""
+    wide = min(64, max(0, attempt - MAX_DRAWS + 1) * WIDER)
     digest = hmac_sha256(key, F.concat_ws("\x1f", kind, canon, F.lit(str(attempt))))
     name = F.element_at(F.split(canon, r"\|", 2), -1)
     gender = F.substring(canon, 1, 1)
@@ -159,18 +163,32 @@ def draw(kind: Column, canon: Column, key: bytes, attempt: int) -> Column:
             .when(kind == "secret", secret).otherwise(substitute(canon, digest))
         )
 
-    return _let(digest, of)
+    def wider(digest: Column) -> Column:
+        """Numbers and keys with more digits; of names, addresses and secrets nothing stays that no draw could change."""
+        letters = lambda d, n: F.translate(F.substring(d, 1, n), "0123456789", "ghijklmnop")
+        digits = F.translate(F.substring(F.reverse(digest), 1, wide), "abcdef", "024681")
+        domain = F.element_at(F.split(canon, r"\."), -1)
+        email = F.concat(letters(digest, 4 + wide), F.lit("@"), letters(F.reverse(digest), 8), F.lit(".example."), domain)
+        ip = F.concat(F.lit("2001:db8"), *[F.concat(F.lit(":"), F.substring(digest, 4 * k + 1, 4)) for k in range(6)])
+        card = _let(F.concat(F.substring(canon, 1, 1), substitute(canon.substr(F.lit(2), F.length(canon) - 2), digest), digits), lambda b: F.concat(b, _luhn(b)))
+        return (
+            F.when(kind == "person", F.concat(gender, F.lit("|"), letters(digest, 4 + wide))).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card)
+            .when(kind == "secret", F.substring(digest, 1, 8 + wide)).when(kind == "access_key", F.concat(of(digest), F.upper(letters(digest, wide))))
+            .otherwise(F.concat(of(digest), digits))
+        )
+
+    return _let(digest, wider if wide else of)
 
 
 def dressed(raw: Column, kind: Column, surrogate: Column) -> Column:
-    """A canonical surrogate in the format of the spelling that it replaces."""
+    """A canonical surrogate in the format of the spelling that it replaces; what a widened one has more follows."""
     place = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
     def fill(s: Column, c: Column) -> Column:
         takes = c.rlike("^[0-9A-Za-z]$")
         return F.struct(F.concat(s["out"], F.when(takes, surrogate.substr(s["i"], F.lit(1))).otherwise(c)).alias("out"), (s["i"] + F.when(takes, 1).otherwise(0)).alias("i"))
 
-    filled = F.aggregate(F.split(raw, ""), place, fill, lambda s: s["out"])
+    filled = F.aggregate(F.split(raw, ""), place, fill, lambda s: F.concat(s["out"], surrogate.substr(s["i"], F.length(surrogate))))
     head = _head(raw, kind)
     tail = raw.substr(F.length(head) + 1, F.length(raw))
     upper = (tail == F.upper(tail)) & (tail != F.lower(tail))
@@ -199,11 +217,11 @@ def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, canon, surrogate) of the distinct entities in occurrences; no two alike, none a real entity's form.
 
     Each draw keeps, of the entities with one surrogate, the first, unless it is a real form or was taken before; the
-    others draw again. Joins and sums only; nothing of the entities comes to the driver but their number.
+    others draw again, from wider formats after ``MAX_DRAWS``, which cannot run out. Joins and sums only; nothing of the entities comes to the driver but their number.
     """
     real = checkpointed(found.select("kind", "canon").distinct())
     pending, taken = real, None
-    for attempt in range(MAX_DRAWS):
+    for attempt in count():
         drawn = pending.withColumn("surrogate", draw(F.col("kind"), F.col("canon"), key, attempt))
         free = drawn.join(real.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if taken is not None:
@@ -213,7 +231,6 @@ def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
         pending = checkpointed(pending.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
         if pending.isEmpty():
             return taken
-    raise RuntimeError("a format has too few forms for its entities")
 
 
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:

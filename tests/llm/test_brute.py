@@ -196,3 +196,33 @@ def test_surrogates_are_distinct(spark):
     chosen = pii.surrogates(found)
     assert chosen.count() == chosen.select("kind", "surrogate").distinct().count() == 4000
     assert chosen.join(chosen.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"]).isEmpty()
+
+
+def test_blanks_are_no_secrets(spark):
+    texts = ["Password: ________", "token=--------", "secret: //////////", "passwd: '____-____'", "secret: ___x_____"]
+    out = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(4)] == [(t, 0) for t in texts[:4]]
+    assert out[4][0].startswith("secret: ") and out[4][0] != texts[4] and out[4][1] == 1
+
+
+def test_exhausted_formats_are_widened(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 2)
+    texts = ["Dr. \u053e\u0572", "Herr \u0141\u0142 kam", *(f"secret: {d}_______" for d in range(10)), *(f"a@b.h{i}.com" for i in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace(docs).collect()}
+    assert len(out) == len(texts) and all(out[i]["n_entities"] == 1 and out[i]["text"] != t for i, t in enumerate(texts))
+    assert "\u053e" not in out[0]["text"] and "\u0142" not in out[1]["text"] and out[1]["text"].endswith(" kam")
+    assert len({r["text"] for r in out.values()}) == len(texts) and not {r["text"] for r in out.values()} & set(texts)
+    assert {r["doc_id"]: r for r in pii.replace(docs).collect()} == out
+
+
+def test_widened_forms_of_every_kind(spark):
+    raws = ["+1 23 45", "4111 1111 1111 1111", "123-45-6789", "10.1.2.3", "AKIA" + "Q7" * 8, "DE12 3456 7890 1234 5678 90", "MR@B.ORG"]
+    found = pii.entities(spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string"))
+    one, two = (pii.draw(F.col("kind"), F.col("canon"), pii.KEY, pii.MAX_DRAWS + k) for k in (0, 1))
+    rows = found.select("raw", "kind", "canon", one.alias("one"), two.alias("two")).withColumn("out", pii.dressed(F.col("raw"), F.col("kind"), F.col("one"))).collect()
+    assert {r["kind"] for r in rows} == set(pii.KINDS) - {"person", "secret"}
+    for r in rows:
+        assert r["one"] and r["out"] != r["raw"] and r["one"] != r["two"]
+        if r["kind"] not in ("email", "ip"):
+            assert len(r["one"]) == len(r["canon"]) + pii.WIDER and len(r["out"]) == len(r["raw"]) + pii.WIDER and len(r["two"]) > len(r["one"])
