@@ -57,7 +57,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Any text with an entity has one of these; spares the full pattern most texts.
-HINT = rf"[0-9@]|{_TITLE}|(?i:password|passwd|secret|token|api)"
+HINT = rf"[0-9@]|{_TITLE}|AKIA|ASIA|(?i:password|passwd|secret|token|api)"
 
 
 def _let(value: Column, body) -> Column:

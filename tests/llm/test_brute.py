@@ -226,3 +226,10 @@ def test_widened_forms_of_every_kind(spark):
         assert r["one"] and r["out"] != r["raw"] and r["one"] != r["two"]
         if r["kind"] not in ("email", "ip"):
             assert len(r["one"]) == len(r["canon"]) + pii.WIDER and len(r["out"]) == len(r["raw"]) + pii.WIDER and len(r["two"]) > len(r["one"])
+
+
+def test_one_entity_and_nothing_else(spark):
+    texts = {"email": "ann@corp.org", "secret": "passwd=abcdefgh", "access_key": "ASIAQWERTYUIOPASDFGH", "ssn": "123-45-6789", "ip": "10.1.2.3", "phone": "+49 30 1234567", "card": "4111 1111 1111 1111", "iban": "DE12 3456 7890 1234 5678 90", "person": "Frau Stein"}
+    assert set(texts) == set(pii.KINDS)
+    out = pii.replace(spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")).collect()
+    assert all(r["n_entities"] == 1 and r["text"] != list(texts.values())[r["doc_id"]] for r in out)
