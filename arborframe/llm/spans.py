@@ -1,12 +1,14 @@
 """Substring deduplication by sliding runs of sentences.
 
 Every run of consecutive sentences is hashed; runs meet by hash across the corpus, and the sentences that a
-repeated run covers are removed everywhere but where it stands first.
+repeated run covers are removed everywhere but where it stands first. A long sentence counts as several: it is cut
+where its words say, so that a passage inside one sentence is cut alike wherever it stands.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,21 +17,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table, text_key
-from .decontaminate import fold
+from .decontaminate import _FOLD, fold
 
 #: A run is the shortest one from its first sentence that has so many sentences with words, and so many words.
 SENTENCES = 2
 WORDS = 12
+#: A sentence of more words is cut, at the word of the least hash in every window of so many words. In a passage of
+#: 50 words the cuts of 32 at least do not depend on what stands around it, which holds a run of the above.
+LONG = 20
+WINDOW = 10
 
 _END = re.compile(r"[.!?]+\s+|[。！？]+\s*|\n\s*")
 _RUNS = "doc_id long, th long, h1 long, h2 long, k int, e int"
 
 
+def _cuts(text: str) -> list[int]:
+    """Where a sentence is cut: nowhere up to ``LONG`` words, at most ``WINDOW`` words apart beyond."""
+    raw = text.encode("utf-8", "surrogatepass")
+    folded = raw.translate(_FOLD)
+    words = folded.split()
+    if len(words) <= LONG:
+        return []
+    h = [zlib.crc32(w) * 0x9E3779B1 & 0xFFFFFFFF for w in words]
+    out, at, place, last = [], 0, 0, -1
+    for i, new in enumerate(h[WINDOW - 1 :]):
+        if last < i:
+            last = h.index(min(h[i : i + WINDOW]), i)
+        elif new < h[last]:
+            last = i + WINDOW - 1
+        else:
+            continue
+        for w in words[at:last]:  # only blanks lie between two words, so the next is found where it stands
+            place = folded.index(w, place) + len(w)
+        at = last
+        if last:
+            out.append(folded.index(words[last], place))
+    return out if len(raw) == len(text) else [len(raw[:x].decode("utf-8", "surrogatepass")) for x in out]
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Ranges that cover the text: each ends after its closing marks or line break and the white space there."""
+    """Ranges that cover the text: each ends after its closing marks or line break and the white space there, or at a cut."""
     cuts = [m.end() for m in _END.finditer(text)]
     if not cuts or cuts[-1] < len(text):
         cuts.append(len(text))
+    cuts = [x for a, b in zip([0, *cuts], cuts, strict=False) for x in ((*(a + c for c in _cuts(text[a:b])), b) if b - a > 2 * LONG else (b,))]
     return [(a, b) for a, b in zip([0, *cuts], cuts, strict=False) if b > a]
 
 
@@ -100,7 +131,7 @@ def deduplicate(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, tex
 
     Every row stays; a text that goes whole is empty, a null text stays null. Rows that share doc_id and text are one
     document. A null doc_id sorts first, so such a row keeps its runs. Repeats within one text count as well.
-    Columns of ``docs`` with an output's name are replaced.
+    The parts of a long sentence count as sentences. Columns of ``docs`` with an output's name are replaced.
     """
     new = ("n_sentences", "n_removed", "repeats_of")
     keep = [c for c in docs.columns if c not in (*new, text)]

@@ -152,6 +152,24 @@ def test_spans_of_a_shared_passage(spark):
     assert out[2]["text"].split() == "Other start here. Other end here.".split() and out[2]["repeats_of"] == [1]
 
 
+def test_spans_inside_one_sentence(spark):
+    rng = random.Random(11)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    whole = some(55)
+    docs, passages = [(0, whole), (1, whole)], []
+    for i in range(20):
+        passages.append(some(50))
+        docs += [(10 + 2 * i, f"{some(30)} {passages[-1]} {some(30)}"), (11 + 2 * i, f"{some(7 + i)} {passages[-1]}, {some(9)}")]
+    out = {r["doc_id"]: r for r in spans.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0]["text"] == whole and len(out[1]["text"].split()) < spans.WORDS and out[1]["repeats_of"] == [0]
+    for i, passage in enumerate(passages):
+        first, second = dict(docs)[10 + 2 * i], dict(docs)[11 + 2 * i]
+        left = out[11 + 2 * i]["text"].replace(",", "").split()
+        assert out[10 + 2 * i]["text"] == first and out[11 + 2 * i]["repeats_of"] == [10 + 2 * i]
+        assert sum(w in left for w in passage.split()) <= 50 - spans.WORDS
+        assert [w for w in second.replace(",", "").split() if w not in passage.split()] == [w for w in left if w not in passage.split()]
+
+
 def test_decontamination_in_several_passes(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     rows = lambda out: sorted((r["doc_id"], r["n_hit"], tuple(sorted(r["items"])), tuple(map(tuple, r["hit_spans"]))) for r in out.collect())
