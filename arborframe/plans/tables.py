@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,11 +238,12 @@ def session_events(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    """The first event of each user and type in the stream; what a batch cannot state is the order of arrival."""
+    """The users and types of the first events in the stream, one row an event; the SQL has no more of them."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.fields)
-    events = E.stream(spark, sf_dir, fields, pattern="events.parquet")
-    return E.run_once(E.first_seen(events, "user_id", "event_type"), f"dedup_{uuid.uuid4().hex}").select("user_id", "event_type").distinct()
+    # as a pattern, the path may be a file or a folder of part files
+    events = E.stream(spark, f"{sf_dir}/events.parque[t]", fields, 64)
+    return E.first_events(events, "user_id", "event_type").select("user_id", "event_type")
 
 
 def minhash_similarity(spark, sf_dir):

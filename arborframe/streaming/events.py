@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,26 @@ def first_seen(events: DataFrame, *keys: str) -> DataFrame:
     return events.withWatermark("ts", DELAY).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_events(events: DataFrame, *keys: str) -> DataFrame:
+    """The first event of each key by ``ts`` and ``event_id`` in all that a stream has, however late it comes.
+
+    A running minimum whose state is one event a key and does not expire. Every batch writes what has changed as Parquet
+    into the shared folder (``spark.checkpoint.dir``), where the stream's checkpoint is as well, and Spark reads it back.
+    """
+    spark = events.sparkSession
+    first = F.min_by("e", F.struct("e.ts", "e.event_id")).alias("e")
+    changed = events.select(F.struct(*events.columns).alias("e")).groupBy(*[F.col(f"e.{k}").alias(k) for k in keys]).agg(first)
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], changed.schema).write.parquet(f"{folder}/rows/batch=-1")
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={k}")
+
+    query = changed.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.schema(changed.schema).parquet(f"{folder}/rows").groupBy(*keys).agg(first).select("e.*")
+
+
 def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into an in-memory table; for tests and small reports."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -10,6 +10,8 @@ from arborframe.functions import normalize as N
 from arborframe.operators import alignment as A
 from arborframe.operators import hits as H
 from arborframe.operators import similarity as S
+from arborframe.plans import tables
+from arborframe.streaming import events as E
 
 
 def values(spark, f, *texts):
@@ -68,3 +70,17 @@ def test_sketches_share_all_slots_of_equal_texts(spark):
     docs = spark.createDataFrame([(1, "the same sequence of letters"), (2, "the same sequence of letters"), (3, "0123456789")], "id long, seq string")
     out = {(r["query"], r["ref"]): r["similarity"] for r in S.sketch_similarity(docs, docs, 5, 8).collect()}
     assert out == {(1, 1): 1.0, (1, 2): 1.0, (2, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0}
+
+
+def test_first_events_of_a_folder(spark, tmp_path):
+    """Three files, in which the first events come last and a day late, and keys return after the delay."""
+    rows = [(i, i % 7, "ab"[i % 2], f"2024-01-0{3 - i // 20} 0{i % 10}:00:00") for i in range(60)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for e, u, t, ts in sorted(rows, key=lambda r: (r[3], r[0])):
+        want.setdefault((u, t), e)
+    source = E.stream(spark, f"{tmp_path}/events.parque[t]", "event_id long, user_id long, event_type string, ts timestamp")
+    got = E.first_events(source, "user_id", "event_type").collect()
+    assert sorted(((r["user_id"], r["event_type"]), r["event_id"]) for r in got) == sorted(want.items())
+    assert sorted(map(tuple, tables.stream_dedup(spark, str(tmp_path)).collect())) == sorted(want)
