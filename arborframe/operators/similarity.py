@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +73,53 @@ def near_ranks(values: DataFrame, medians: DataFrame, most: float = 0.1) -> Data
     return values.crossJoin(ranks).withColumn("near", F.array_join(F.transform(F.array_sort(close), lambda m: m["rank"]), "&")).drop("__m")
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingles(text: str, k: int) -> np.ndarray:
+    """64-bit hashes of the distinct k-letter substrings, in order; a shorter text is one."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width = min(k, len(letters))
+    h = np.full(len(letters) - width + 1, width, np.uint64)
+    for j in range(width):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + letters[j : len(letters) - width + 1 + j])
+    return np.unique(h)
+
+
 def shingle_signatures(docs: DataFrame, k: int = 5, n: int = 16) -> DataFrame:
-    """(id, slot, value): minimum hash of each of ``n`` families over the k-letter substrings of a sequence."""
-    kmers = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - k + 1)), lambda i: F.substring(F.col("seq"), i, F.lit(k))))
-    slots = F.array(*(F.struct(F.lit(s).alias("slot"), F.array_min(F.transform("kmers", lambda x, s=s: F.xxhash64(F.lit(s), x))).alias("value")) for s in range(n)))
-    return docs.select("id", kmers.alias("kmers")).select("id", F.explode(slots).alias("m")).select("id", "m.*")
+    """(id, slot, value): minimum hash of each of ``n`` families over the k-letter substrings of a sequence; none of a null."""
+
+    @F.pandas_udf("array<long>")
+    def least(texts: pd.Series) -> pd.Series:
+        seeds = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return pd.Series([np.array([_mixed(x ^ s).min() for s in seeds]).view(np.int64) for x in (_shingles(t, k) for t in texts)], dtype=object)
+
+    return docs.where("seq IS NOT NULL").select("id", F.posexplode(least("seq")).alias("slot", "value"))
 
 
 def sketch_similarity(queries: DataFrame, refs: DataFrame, k: int = 5, n: int = 16) -> DataFrame:
-    """Share of equal signature slots of every query and reference that share one; slots join by value."""
+    """Jaccard similarity of the k-letter substrings of every query and reference that share a signature slot.
+
+    The slots only find the candidates: a pair of similarity s is among them with probability 1 - (1 - s) ** n, at 16
+    slots 0.99998 for s = 0.5. Each candidate's similarity is counted from its substrings.
+    """
     a = shingle_signatures(queries, k, n).withColumnRenamed("id", "query")
     b = shingle_signatures(refs, k, n).withColumnRenamed("id", "ref")
-    return a.join(b, ["slot", "value"]).groupBy("query", "ref").agg((F.count("*") / n).alias("similarity"))
+    pairs = a.join(b, ["slot", "value"]).select("query", "ref").distinct()
+    texts = pairs.join(queries.select(F.col("id").alias("query"), F.col("seq").alias("x")), "query").join(refs.select(F.col("id").alias("ref"), F.col("seq").alias("y")), "ref")
+
+    @F.pandas_udf("double")
+    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+        held = lru_cache(256)(lambda t: _shingles(t, k))
+
+        def one(u: np.ndarray, v: np.ndarray) -> float:
+            same = len(np.intersect1d(u, v, assume_unique=True))
+            return same / (len(u) + len(v) - same)
+
+        return pd.Series([one(held(t), held(u)) for t, u in zip(x, y, strict=True)], dtype=float)
+
+    return texts.select("query", "ref", jaccard("x", "y").alias("similarity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -84,3 +86,15 @@ def test_first_events_of_a_folder(spark, tmp_path):
     got = E.first_events(source, "user_id", "event_type").collect()
     assert sorted(((r["user_id"], r["event_type"]), r["event_id"]) for r in got) == sorted(want.items())
     assert sorted(map(tuple, tables.stream_dedup(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_minhash_by_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh é漢") for _ in range(300)) for _ in range(6)]
+    cut = lambda t, n: "".join(c if rng.random() > n / len(t) else "#" for c in t)
+    rows = [(i, cut(base[i % 6], i // 6)) for i in range(120)] + [(120, ""), (121, ""), (140, "short"), (141, "short"), (160, None), (161, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: {t[j : j + 8] for j in range(max(1, len(t) - 7))} for i, t in rows if t is not None}
+    share = {(q, r): len(sets[q] & sets[r]) / len(sets[q] | sets[r]) for q in sets if q % 20 == 0 for r in sets if q != r}
+    got = {(r["query"], r["ref"]): r["similarity"] for r in tables.minhash_similarity(spark, str(tmp_path)).collect()}
+    assert got == {p: s for p, s in share.items() if s >= 0.5} and any(0.5 <= s < 0.7 for s in got.values())
