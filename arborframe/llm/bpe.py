@@ -5,22 +5,22 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, with_text_outputs
 
 #: Widths of the padded matrices; a longer piece is merged by a heap instead, in L log L steps.
 BUCKETS = (8, 16, 32, 64, 128, 256, 512)
 #: Rows of a matrix, so that one round works on a bounded block.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 500_000
 #: Pieces whose ids a worker remembers before it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 NO_RANK = np.iinfo(np.int32).max
 
 OUTPUTS = {
@@ -231,29 +231,25 @@ def bpe(df: DataFrame, rank_file: str, pattern: str, text: str = "text", outputs
     (a batch of texts and a cache of pieces). A null text counts as empty: no tokens, empty bytes. Texts of any
     length are encoded whole. A column of ``df`` that has the name of an output is replaced.
     """
-    keep = tuple(c for c in (df.columns if keep is None else keep) if c not in outputs)
-    held = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep), *(f"{o} {OUTPUTS[o]}" for o in outputs)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder():
         own = codec(rank_file, pattern)
-        for pdf in batches:
-            for k in range(0, len(pdf), 256):
-                part = pdf.iloc[k : k + 256]
-                all_ids = own.encode_batch([t if isinstance(t, str) else "" for t in part["__text"]])
-                cols: dict[str, list] = {o: [] for o in outputs}
-                for ids in all_ids:
-                    decoded = own.decode(ids) if {"decoded", "decoded_sha256"} & cols.keys() else b""
-                    for o, v in cols.items():
-                        v.append(
-                            len(ids) if o == "n_tokens"
-                            else ids if o == "ids"
-                            else decoded if o == "decoded"
-                            else hashlib.sha256(ids.astype("<u4").tobytes() if o == "ids_sha256" else decoded).hexdigest()
-                        )
-                yield part[list(keep)].assign(**cols)
-
-    return held.mapInPandas(run, schema)
+
+        def run(texts: list[str]) -> dict:
+            all_ids = own.encode_batch(texts)
+            sizes = np.array([len(ids) for ids in all_ids], dtype=np.int64)
+            decoded = [own.decode(ids) for ids in all_ids] if {"decoded", "decoded_sha256"} & set(outputs) else []
+            made = {
+                "n_tokens": lambda: sizes,
+                "ids": lambda: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(all_ids))),
+                "decoded": lambda: decoded,
+                "ids_sha256": lambda: [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in all_ids],
+                "decoded_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in decoded],
+            }
+            return {o: made[o]() for o in outputs}
+
+        return run
+
+    return with_text_outputs(df, text, {o: OUTPUTS[o] for o in outputs}, encoder, keep)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import others, quoted, stored, table, with_text_outputs
 
 WINDOW = 10
+OUTPUTS = ("n_words", "n_hit", "hit_spans", "items")
+SPANS = "array<struct<begin:int,end:int>>"
+WORDS = "array<struct<a:int,b:int>>"
 #: Characters of benchmark text that one automaton may be built from; beyond it the items are dealt to several passes.
-AUTOMATON_CHARS = 32_000_000
+AUTOMATON_CHARS = 4_000_000
 
 #: A byte of a word stays (A-Z in lower case), any other becomes a blank; bytes from 0x80 up belong to words.
 _FOLD = bytes((b | 0x20) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -96,49 +99,55 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
     Documents are scanned whole, once, without a shuffle. The items go to every worker, so their size is measured
     first: when their text exceeds ``max_chars`` they are split by a hash into groups below it, each group scans
-    with an automaton of its own, and the findings of a document are merged as they come along the chain of scans.
+    in a pass of its own whose findings are written out, and the findings of a document are merged at the end.
     A null or wordless text has no words and no hits; an item without words or without an id has no windows;
     repeated items and windows count once; an empty benchmark hits nothing. Columns of ``docs`` named like an
     output are replaced.
     """
-    from uuid import uuid4
-
-    spark = docs.sparkSession
-    new = ("n_words", "n_hit", "hit_spans", "items")
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in new)
     held = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").distinct()
     chars = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     groups = max(1, -(-chars // max_chars))
-    id_type = items.schema[item_id].dataType.simpleString()
-    types = {c: docs.schema[c].dataType.simpleString() for c in keep}
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in types.items()), f"__text string, __words array<struct<a:int,b:int>>, n_words long, items array<{id_type}>"])
-    out = docs.select(*keep, F.col(text).alias("__text"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("__words"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(f"array<{id_type}>").alias("items"))
-    last = schema.replace("__text string, __words array<struct<a:int,b:int>>,", "n_hit long, hit_spans array<struct<begin:int,end:int>>,")
+    found = f"array<{items.schema[item_id].dataType.simpleString()}>"
+    kept = others(list(docs.columns if keep is None else keep), OUTPUTS)
+    if groups == 1:
+        return _scan(docs, held, text, n, {"n_words": "long", "n_hit": "long", "hit_spans": SPANS, "items": found}, kept)
+    # one pass an automaton, each written out before the next starts, so that no worker holds two
+    out = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(kept)), quoted(text).alias("t"))
     for g in range(groups):
-        part = [(r["id"], r["t"]) for r in held.where(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g).toLocalIterator()]
-        shared = spark.sparkContext.broadcast((uuid4().hex, part))
-        ends = g == groups - 1
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, ends=ends) -> Iterator[pd.DataFrame]:
-            own = _scanner(shared, n)
-            for pdf in batches:
-                cols: list[list] = [[], [], [], []]
-                for t, before, found in zip(pdf["__text"], pdf["__words"], pdf["items"], strict=True):
-                    t = t if isinstance(t, str) else ""
-                    n_words, spans, ids = own.scan(t)
-                    if before is not None and len(before):
-                        spans = _merged([*spans, *((x["a"], x["b"]) for x in before)])
-                    if found is not None and len(found):
-                        ids = ids | set(found)
-                    cols[0].append(n_words)
-                    cols[1].append(sorted(ids))
-                    cols[2].append(sum(b - a for a, b in spans) if ends else t)
-                    cols[3].append([{"begin": a, "end": b} for a, b in own.offsets(t, spans)] if ends else [{"a": a, "b": b} for a, b in spans])
-                more = dict(zip(("n_words", "items", "n_hit", "hit_spans") if ends else ("n_words", "items", "__text", "__words"), cols, strict=True))
-                yield pdf[list(keep)].assign(**more)
-
-        out = out.mapInPandas(run, last if ends else schema)
-    return out
+        part = held.where(F.pmod(F.xxhash64("id", "t"), F.lit(groups)) == g)
+        out = stored(_scan(out, part, "t", n, {f"n{g}": "long", f"w{g}": WORDS, f"i{g}": found}, None))
+    every = lambda x: F.array(*(F.col(f"{x}{g}") for g in range(groups)))
+
+    @F.pandas_udf(f"struct<n_hit:long,hit_spans:{SPANS}>")
+    def whole(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        joined = [_merged([(x["a"], x["b"]) for x in each]) for each in spans]
+        places = [Scanner.offsets(t or "", x) for t, x in zip(texts, joined, strict=True)]
+        return pd.DataFrame({"n_hit": [sum(b - a for a, b in x) for x in joined], "hit_spans": [[{"begin": a, "end": b} for a, b in x] for x in places]})
+
+    out = out.withColumn("x", whole("t", F.flatten(every("w")))).withColumn("items", F.sort_array(F.array_distinct(F.flatten(every("i")))))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("n0").alias("n_words"), "x.n_hit", "x.hit_spans", "items")
+
+
+def _scan(docs: DataFrame, items: DataFrame, text: str, n: int, outputs: dict[str, str], keep: list[str] | None) -> DataFrame:
+    """Append, in the order of ``outputs``: number of words, what of the hits it names by type, and items found."""
+    part = [(r["id"], r["t"]) for r in items.toLocalIterator()]
+    shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, part))
+
+    def scanner():
+        own = _scanner(shared, n)
+
+        def run(texts: list[str]) -> dict:
+            found = [own.scan(t) for t in texts]
+            made = {
+                "long": lambda k: [x[0] if k == 0 else sum(b - a for a, b in x[1]) for x in found],
+                SPANS: lambda k: [[{"begin": a, "end": b} for a, b in own.offsets(t, x[1])] for t, x in zip(texts, found, strict=True)],
+                WORDS: lambda k: [[{"a": a, "b": b} for a, b in x[1]] for x in found],
+            }
+            return {o: made[t](k) if t in made else [sorted(x[2]) for x in found] for k, (o, t) in enumerate(outputs.items())}
+
+        return run
+
+    return with_text_outputs(docs, text, outputs, scanner, keep)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

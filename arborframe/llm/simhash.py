@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, sized, table, text_key
+from .common import checkpointed, connected_components, sized, table, text_key, with_text_outputs
 
 SHINGLE = 4
 RADIUS = 4
@@ -57,16 +57,10 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, n: int = SHINGLE) -> DataFrame:
     """Append ``fp``, the fingerprint as a signed long. No shuffle; texts are read whole; null counts as wordless."""
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c != "fp")
-    held = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep), "fp long"])
+    def of(texts: list[str]) -> dict:
+        return {"fp": np.fromiter((fingerprint(t, n) for t in texts), np.uint64, len(texts)).view(np.int64)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.fromiter((fingerprint(t if isinstance(t, str) else None, n) for t in pdf["__text"]), np.uint64, len(pdf))
-            yield pdf[list(keep)].assign(fp=fps.view(np.int64))
-
-    return held.mapInPandas(run, schema)
+    return with_text_outputs(docs, text, {"fp": "long"}, lambda: of, keep)
 
 
 @dataclass(frozen=True)

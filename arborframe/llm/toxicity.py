@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import others, table, with_text_outputs
 from .fit import minimise
 from .sample import labelled, remainder
 
@@ -28,6 +28,8 @@ PENALTY = 3e-6
 SCALE = 10.0
 #: A bucket that fewer rows of the sample hold has no weight.
 LEAST_ROWS = 3
+#: Rows of the sample that the fit reads at once.
+BLOCK_ROWS = 256
 
 _seen = np.zeros(1 << BITS, dtype=bool)
 
@@ -93,23 +95,28 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[i
     used = ratio != 0
     lists = [b[used[b]] for b in lists]
     scale = (ratio / SCALE).astype(np.float32)
-    blocks = [(k, min(k + 256, len(y))) for k in range(0, len(y), 256)]
+    # the sample as sparse rows in blocks: the bucket of every entry, where rows start, and their sizes; a row without
+    # buckets has one of no weight
+    lists = [b if len(b) else np.array([size], np.int32) for b in lists]
+    blocks = []
+    while lists:
+        part = lists[:BLOCK_ROWS]
+        del lists[:BLOCK_ROWS]
+        sizes = np.array([len(b) for b in part])
+        blocks.append((np.concatenate(part), np.cumsum(sizes) - sizes, sizes))
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = theta[:-1], theta[-1]
-        scaled = w * scale
-        value, grad = penalty / 2 * float(w @ w), np.zeros(size)
-        shift = 0.0
-        for lo, hi in blocks:
-            flat = np.concatenate(lists[lo:hi])
-            sizes = [len(x) for x in lists[lo:hi]]
-            row = np.repeat(np.arange(hi - lo), sizes)
-            z = np.bincount(row, weights=scaled[flat], minlength=hi - lo) + b
-            value += float(np.sum(np.logaddexp(0, z) - y[lo:hi] * z)) / len(y)
-            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[lo:hi]) / len(y)
-            grad += np.bincount(flat, weights=np.repeat(error, sizes), minlength=size)
-            shift += float(error.sum())
-        return value, np.append(grad * scale + penalty * w, shift)
+        scaled = np.append((w * scale).astype(np.float32), np.float32(0))
+        value, grad, shift, at = penalty / 2 * float(w @ w), np.zeros(size + 1), 0.0, 0
+        for flat, starts, sizes in blocks:
+            own = y[at : at + len(sizes)]
+            z = np.add.reduceat(scaled[flat], starts, dtype=np.float64) + b
+            value += float(np.sum(np.logaddexp(0, z) - own * z)) / len(y)
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - own) / len(y)
+            grad += np.bincount(flat, weights=np.repeat(error, sizes), minlength=size + 1)
+            shift, at = shift + float(error.sum()), at + len(sizes)
+        return value, np.append(grad[:size] * scale + penalty * w, shift)
 
     theta = minimise(loss, np.append(np.zeros(size), np.log(y.mean() / (1 - y.mean()))), rounds=40)
     # the sample's classes are not as frequent as the corpus's
@@ -121,22 +128,21 @@ def classify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """Append ``score`` (0 to 1) and ``predicted`` (1 from 0.5) to every row, over its whole text.
 
     No shuffle; the model (1 MB, whatever the corpus) is broadcast. Null and empty texts have no n-grams but the
-    padding's and score the intercept. Columns of the input with an output's name are replaced.
+    padding's and score the intercept. Very long texts are hashed in parts of bounded size; repeated rows score alike and
+    all stay; an empty table stays empty. Columns with an output's name, in any case, are replaced.
     """
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted"))
-    held = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep), "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        for pdf in batches:
-            yield pdf[list(keep)].assign(score=[own.score(t if isinstance(t, str) else None) for t in pdf["__text"]])
-
-    return held.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = with_text_outputs(
+        docs, text, {"score": "double"}, lambda: lambda texts: {"score": [shared.value.score(t) for t in texts]}, others(list(docs.columns if keep is None else keep), ("predicted",))
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, learnt from the labels that are not held out.
+
+    Null and empty texts score the intercept; a null doc_id has a null held_out; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), "toxic", remainder(F.col("doc_id"), 5) != 0)
     scored = classify(docs, model, keep=("doc_id",))
