@@ -13,10 +13,10 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table, text_key
+from .common import checkpointed, others, quoted, stored, table, text_key
 
-#: For tests and queries; production passes its own secret.
-KEY = b"not a secret"
+#: Key of the registered query and of tests; whoever calls :func:`replace` passes a secret of their own.
+TEST_KEY = b"not a secret"
 #: Draws after which a format counts as exhausted and is widened.
 MAX_DRAWS = 30
 #: Characters by which each draw after those widens a format.
@@ -41,6 +41,17 @@ CLASSES = (
     "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", "アイウエオカキクケコサシスセソ", "가나다라마바사아자차카타파하",
 )
 
+# Letters outside those classes are replaced by letters of their script: a pattern for a script, and what stands in.
+SCRIPTS = {
+    r"\p{IsHan}": "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", r"\p{IsHangul}": "가나다라마바사아자차카타파하", r"\p{IsHiragana}": "あいうえおかきくけこさしすせそ", r"\p{IsKatakana}": "アイウエオカキクケコサシスセソ",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת", r"\p{IsDevanagari}": "अआइउएकखगघचजटडतदनपबमयरलवसह", r"\p{IsThai}": "กขคงจชซดตทนบปพมยรลวส",
+    r"\p{IsArmenian}": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփք", r"\p{IsGeorgian}": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    r"[\p{IsCyrillic}&&\p{Lu}]": "БВГДЖЗКЛМНПРСТФХЦЧШЩ", r"\p{IsCyrillic}": "бвгджзклмнпрстфхцчшщ", r"[\p{IsGreek}&&\p{Lu}]": "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", r"\p{IsGreek}": "βγδζθκλμνξπρστφχψ",
+    r"\p{Lu}": "ÁÉÍÓÚÈÊÀÂÇÑÄÖÜ", r"\p{L}": "áéíóúèêàâçñäöü", r"\p{N}": "0123456789",
+}
+# Country calling codes of one and two digits; the others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _TITLE = rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.?[ \u00a0]"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kind of entity and its pattern, the first that fits whole decides.
@@ -79,14 +90,16 @@ def _byte(digest: Column, i: Column) -> Column:
 
 
 def substitute(text: Column, digest: Column) -> Column:
-    """Every letter or digit replaced within its class, at the digest's choice; other characters stay."""
+    """Every letter or digit replaced within its class, or else within its script, at the digest's choice; marks stay."""
 
     def one(c: Column, i: Column) -> Column:
         out = c
+        choice = _byte(digest, i) + F.ascii(digest.substr((i % 61) + 1, F.lit(1))) * 7
+        pick = lambda letters: F.lit(letters).substr(F.pmod(choice, F.lit(len(letters))) + 1, F.lit(1))
+        for script, letters in reversed(SCRIPTS.items()):
+            out = F.when(c.rlike(script), pick(letters)).otherwise(out)
         for letters in reversed(CLASSES):
-            fits = F.instr(F.lit(letters), c) > 0
-            pick = F.lit(letters).substr(F.pmod(_byte(digest, i) + F.ascii(digest.substr((i % 61) + 1, F.lit(1))) * 7, F.lit(len(letters))) + 1, F.lit(1))
-            out = F.when(fits, pick).otherwise(out)
+            out = F.when(F.instr(F.lit(letters), c) > 0, pick(letters)).otherwise(out)
         return out
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -120,11 +133,13 @@ def _gender(head: Column) -> Column:
 
 
 def canonical(raw: Column, kind: Column) -> Column:
-    """One form for all spellings of an entity: digits of numbers, lower case of addresses and of names with gender."""
+    """One form for all spellings of an entity: digits of numbers (after the sign of a country code), lower case of
+    addresses and of names with gender."""
     head = _head(raw, kind)
     tail = raw.substr(F.length(head) + 1, F.length(raw))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, r"\D", ""))
+        F.when(kind.isin("card", "ssn"), F.regexp_replace(raw, r"\D", ""))
+        .when(kind == "phone", F.regexp_replace(raw, r"(?!^\+)\D", ""))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind == "email", F.lower(raw))
         .when(kind == "person", F.concat_ws("|", _gender(head), F.lower(tail)))
@@ -153,7 +168,8 @@ def draw(kind: Column, canon: Column, key: bytes, attempt: int) -> Column:
         octets = F.concat_ws(".", *[((_byte(digest, F.lit(k)) % (223 if k == 0 else 256)) + (1 if k == 0 else 0)).cast("string") for k in range(4)])
         body = F.concat(F.substring(canon, 1, 1), substitute(canon.substr(F.lit(2), F.length(canon) - 2), digest))
         card = _let(body, lambda b: F.concat(b, _luhn(b)))
-        phone = F.concat(F.substring(canon, 1, 1), substitute(canon.substr(F.lit(2), F.length(canon)), digest))
+        code = F.when(canon.startswith("+"), F.regexp_extract(canon, COUNTRY, 0)).otherwise(F.substring(canon, 1, 1))
+        phone = F.concat(code, substitute(canon.substr(F.length(code) + 1, F.length(canon)), digest))
         first4 = F.concat(F.substring(canon, 1, 4), substitute(canon.substr(F.lit(5), F.length(canon)), digest))
         hexed = F.substring(F.concat(digest, F.sha2(digest, 256), F.sha2(F.reverse(digest), 256)).substr(F.lit(1), F.length(canon)), 1, 192)
         secret = F.when(canon.rlike("^[0-9a-f]{8,192}$"), hexed).otherwise(substitute(canon, digest))
@@ -183,12 +199,13 @@ def draw(kind: Column, canon: Column, key: bytes, attempt: int) -> Column:
 def dressed(raw: Column, kind: Column, surrogate: Column) -> Column:
     """A canonical surrogate in the format of the spelling that it replaces; what a widened one has more follows."""
     place = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
+    own = F.replace(surrogate, F.lit("+"), F.lit(""))
 
     def fill(s: Column, c: Column) -> Column:
         takes = c.rlike("^[0-9A-Za-z]$")
-        return F.struct(F.concat(s["out"], F.when(takes, surrogate.substr(s["i"], F.lit(1))).otherwise(c)).alias("out"), (s["i"] + F.when(takes, 1).otherwise(0)).alias("i"))
+        return F.struct(F.concat(s["out"], F.when(takes, own.substr(s["i"], F.lit(1))).otherwise(c)).alias("out"), (s["i"] + F.when(takes, 1).otherwise(0)).alias("i"))
 
-    filled = F.aggregate(F.split(raw, ""), place, fill, lambda s: F.concat(s["out"], surrogate.substr(s["i"], F.length(surrogate))))
+    filled = F.aggregate(F.split(raw, ""), place, fill, lambda s: F.concat(s["out"], own.substr(s["i"], F.length(own))))
     head = _head(raw, kind)
     tail = raw.substr(F.length(head) + 1, F.length(raw))
     upper = (tail == F.upper(tail)) & (tail != F.lower(tail))
@@ -213,11 +230,12 @@ def entities(docs: DataFrame) -> DataFrame:
     return kinded.withColumn("kind", F.when(card, "number").otherwise(F.col("kind")))
 
 
-def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, surrogate) of the distinct entities in occurrences; no two alike, none a real entity's form.
 
     Each draw keeps, of the entities with one surrogate, the first, unless it is a real form or was taken before; the
-    others draw again, from wider formats after ``MAX_DRAWS``, which cannot run out. Joins and sums only; nothing of the entities comes to the driver but their number.
+    others draw again, from wider formats after ``MAX_DRAWS``, which cannot run out. Joins and sums only; nothing of
+    the entities comes to the driver but whether any is left.
     """
     real = checkpointed(found.select("kind", "canon").distinct())
     pending, taken = real, None
@@ -233,33 +251,39 @@ def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
             return taken
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``n_entities``.
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
+    """``docs`` with surrogates under ``key`` in ``text``, and ``n_entities``.
 
     Texts without an entity pass unshuffled; of the others, the occurrences join the surrogates, and the text is put
     together from what stands between them. An entity that a third of the documents hold is a skewed join, which AQE
     splits. Rows that share doc_id and text are one document; null and empty texts have no entities; an empty table
-    stays empty. A column n_entities of ``docs`` is replaced.
+    stays empty. A column n_entities of ``docs``, in any case, is replaced; others may have any name and stay.
     """
-    keep = [c for c in docs.columns if c != "n_entities"]
-    docs = docs.select(*keep)
-    found = stored(entities(docs))
+    keep = others(docs.columns, ["n_entities"])
+    plain_ids = docs.select(F.col("doc_id"), F.col("text"))
+    docs = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    found = stored(entities(plain_ids))
     chosen = surrogates(found.where("kind <> 'number'"), key)
     texts = (
         found.distinct().join(chosen, ["kind", "canon"], "left")
         .select("doc_id", "th", F.col("surrogate").isNotNull().alias("is"), F.struct("pos", F.coalesce(dressed(F.col("raw"), F.col("kind"), F.col("surrogate")), "raw").alias("new")).alias("r"))
-        .groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("r")).alias("r"), F.count_if("is").alias("__n"))
-        .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.transform("r", lambda x: x["new"]).alias("__new"), "__n")
+        .groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("r")).alias("r"), F.count_if("is").alias("n"))
+        .select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.transform("r", lambda x: x["new"]).alias("new"), "n")
     )
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    plain = docs.where(~has).select(*keep, F.lit(0).cast("long").alias("n_entities"))
-    marked = docs.where(has).withColumn("__key", text_key(F.col("text"))).join(texts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
-    parts = F.zip_with(F.split(F.col("text"), PATTERN, -1), F.col("__new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    return plain.unionAll(marked.select(*(F.array_join(parts, "").alias(c) if c == "text" else F.col(c) for c in keep), F.col("__n").cast("long").alias("n_entities")))
+    named = lambda text: [(text if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(keep)]
+    plain = docs.where(~has).select(*named(F.col("text")), F.lit(0).cast("long").alias("n_entities"))
+    marked = docs.where(has).withColumn("key", text_key(F.col("text"))).join(texts, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_th")))
+    parts = F.zip_with(F.split(F.col("text"), PATTERN, -1), F.col("new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    return plain.unionAll(marked.select(*named(F.array_join(parts, "")), F.col("n").cast("long").alias("n_entities")))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's text with surrogates for personal data, and how many entities it had.
+
+    Null and empty texts stay as they are; an empty table gives no rows; repeated rows get the same text.
+    """
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
 
 
 QUERIES = {"op3_pii": op3_pii}

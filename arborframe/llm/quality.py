@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import others, table, with_text_outputs
 from .fit import minimise
 from .sample import labelled, remainder
 
@@ -166,9 +166,11 @@ def _cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[int, int] = MAX_ROWS, penalty: float = PENALTY) -> Model:
     """Fit on at most ``max_rows`` rows of the classes, of those that ``learn`` admits.
 
-    A line of the sample has the label of its document. The weights maximise the penalised conditional likelihood
-    of the label sequences. Only line features reach the driver. Without rows of both classes every text scores the
-    share of class 1, or 0.5.
+    Only documents have labels, so those of lines are latent: first every line has its document's and is judged by
+    itself, then lines that look otherwise take the other label, as long as most of a document's length keeps its own,
+    and the chain is fitted to those sequences, twice. The weights maximise the penalised conditional likelihood of the
+    label sequences. Only line features reach the driver. Without rows of both classes every text scores the share of
+    class 1, or 0.5.
     """
     texts, (n0, n1) = labelled(docs, labels, label, learn, max_rows)
     f, k = len(FEATURES), len(NEIGHBOURS)
@@ -190,52 +192,76 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[i
     for block in _chains([len(x) for _, x in rows]):
         n = np.array([len(rows[i][1]) for i in block])
         cells = np.concatenate([_cells(rows[i][1], edges) for i in block])
-        blocks.append((n, np.array([rows[i][0] for i in block], dtype=np.float64), cells))
+        inside = np.arange(n.max()) < n[:, None]
+        length = np.zeros(inside.shape)
+        length[inside] = np.expm1(np.concatenate([rows[i][1][:, 0] for i in block]))
+        y = np.array([rows[i][0] for i in block], dtype=np.float64)
+        blocks.append([n, inside, cells, length, y, np.where(inside, y[:, None], 0)])
     size, count = k * f * BINS, len(rows)
 
-    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        w, offset, links = np.append(theta[:size], 0.0), theta[size], theta[size + 1 :].reshape(2, 2)
+    def odds_of(theta: np.ndarray, inside: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        odds = np.zeros(inside.shape)
+        odds[inside] = np.append(theta[:size], 0.0)[cells].sum(axis=1) + theta[size]
+        return odds
+
+    def loss(theta: np.ndarray, chained: bool = True) -> tuple[float, np.ndarray]:
+        links = theta[size + 1 :].reshape(2, 2) * chained
         value, grad = penalty / 2 * float(theta @ theta), penalty * theta
-        for n, y, cells in blocks:
-            inside = np.arange(n.max()) < n[:, None]
-            odds = np.zeros(inside.shape)
-            odds[inside] = w[cells].sum(axis=1) + offset
+        for n, inside, cells, _, _, truth in blocks:
+            odds = odds_of(theta, inside, cells)
             marginal, pairs, total = forward_backward(odds, n, links)
-            truth = np.where(inside, y[:, None], 0)
-            gold = np.array([[((1 - y) * (n - 1)).sum(), 0], [0, (y * (n - 1)).sum()]])
+            after, before = (truth[:, 1:], truth[:, :-1])
+            gold = np.array([[((a == before) & (b == after))[inside[:, 1:]].sum() for b in (0, 1)] for a in (0, 1)], dtype=np.float64)
             value += (total.sum() - (odds * truth).sum() - (links * gold).sum()) / count
             error = ((marginal - truth) / count)[inside]
             flat = np.bincount(np.where(cells < 0, size, cells).ravel(), weights=np.repeat(error, cells.shape[1]), minlength=size + 1)
-            grad += np.concatenate([flat[:size], [error.sum()], ((pairs - gold) / count).ravel()])
+            grad += np.concatenate([flat[:size], [error.sum()], ((pairs - gold) / count * chained).ravel()])
         return value, grad
 
-    theta = minimise(loss, np.zeros(size + 5), rounds=120)
+    theta = minimise(lambda t: loss(t, False), np.zeros(size + 5), rounds=60)
+    for _ in range(2):
+        for block in blocks:
+            block[5] = relabelled(odds_of(theta, block[1], block[2]), *block[1:2], *block[3:5])
+        theta = minimise(loss, theta, rounds=80)
     return Model(edges, theta[:size].reshape(k, f, BINS), float(theta[size]), theta[size + 1 :].reshape(2, 2), prior)
 
 
+def relabelled(odds: np.ndarray, inside: np.ndarray, length: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels of lines: their document's, but for the lines that speak most clearly for the other one, together less
+    than half of the document's length."""
+    against = np.where(inside, np.where(y[:, None] == 1, -odds, odds), -np.inf)
+    order = np.argsort(-against, axis=1, kind="stable")
+    used = np.cumsum(np.take_along_axis(length, order, 1), axis=1)
+    turned = (np.take_along_axis(against, order, 1) > 0) & (used < length.sum(axis=1, keepdims=True) / 2)
+    flips = np.zeros(inside.shape, dtype=bool)
+    np.put_along_axis(flips, order, turned, axis=1)
+    return np.where(inside, np.where(flips, 1 - y[:, None], y[:, None]), 0)
+
+
 def classify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None, lines: bool = False) -> DataFrame:
     """Append ``score`` (0 to 1), ``predicted`` (1 from 0.5) and, with ``lines``, the ``line_good`` marginals.
 
     No shuffle; the model (a few kB) is broadcast. Lines of white space count for nothing; a null text, an empty
-    one and one of such lines score the share of class 1 in the labels. Columns with an output's name are replaced.
+    one and one of such lines score the share of class 1 in the labels. Texts of any length are labelled whole, in slices
+    of bounded size; repeated rows score alike and all stay; an empty table stays empty. Columns with an output's name,
+    in any case, are replaced.
     """
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted", "line_good"))
-    held = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in keep), "score double", *["line_good array<double>"] * lines])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                found = shared.value.score_batch([t if isinstance(t, str) else "" for t in part["__text"]])
-                out = part[list(keep)].assign(score=[s for s, _ in found])
-                yield out.assign(line_good=[m for _, m in found]) if lines else out
+    def labelled_texts(texts: list[str]) -> dict:
+        found = shared.value.score_batch(texts)
+        return {"score": [s for s, _ in found], "line_good": [m for _, m in found]}
 
-    return held.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    outputs = {"score": "double", "line_good": "array<double>"} if lines else {"score": "double"}
+    kept = others(list(docs.columns if keep is None else keep), ("score", "predicted", "line_good"))
+    return with_text_outputs(docs, text, outputs, lambda: labelled_texts, kept).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, learnt from the labels that are not held out.
+
+    Null and empty texts score the share of good labels; a null doc_id has a null held_out; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 3) != 1)
     scored = classify(docs, model, keep=("doc_id",))

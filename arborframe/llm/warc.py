@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir, table
+from .common import checkpointed, shared_dir, sized, table
 
 #: Bytes of records after which a frame ends, and of frames after which a bundle ends. A record is never cut.
 FRAME_BYTES = 1 << 18
@@ -99,14 +99,34 @@ def read_seek_table(tail: bytes) -> list[tuple[int, int]]:
 def planned(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Pages with payload digest, record type and the page that a revisit refers to.
 
-    Of equal payloads the largest page_id is the response; rows of that id are all responses, as are pages with a
-    null id that have no partner with an id. Only digests and ids are aggregated.
+    Of equal payloads the largest page_id is the response, of several rows with that id the one of the least url (a
+    null url last); rows that are wholly alike are counted, and one of them is the response. Payloads without any
+    page_id are all responses, as none can be referred to. Only digests, ids and urls are aggregated; the digests that
+    occur more than once are broadcast while they are few, so that pages need not be shuffled.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", "html", F.sha1(html).alias("key"), F.octet_length(html).cast("long").alias("size"))
-    last = keyed.groupBy("key").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    revisit = F.coalesce((F.col("size") >= least_revisit) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.lit(False))
-    return keyed.join(last, "key", "left").select("page_id", "url", "html", "size", revisit.alias("revisit"), F.when(revisit, F.col("response")).alias("refers_to"))
+    keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(html)).alias("key"), F.octet_length(html).cast("long").alias("size"))
+    place = F.struct(-F.col("page_id"), F.col("url").isNull(), "url")
+    by_place = keyed.where("page_id IS NOT NULL").groupBy("key", "page_id", "url").agg(F.count("*").alias("n"))
+    last = (
+        by_place.groupBy("key").agg(F.max("page_id").alias("response"), F.min_by(F.struct("url", "n"), place).alias("at"), F.sum("n").alias("copies"))
+        .select(F.col("key").alias("last_key"), "response", F.col("at.url").alias("response_url"), F.col("at.n").alias("alike"), "copies")
+    )
+    some = keyed.where("page_id IS NULL").select("key").distinct()
+    last = last.join(some.withColumnRenamed("key", "last_key").withColumn("loose", F.lit(True)), "last_key", "left").where("copies > 1 OR loose").drop("copies", "loose")
+    joined = keyed.join(sized(last, F.octet_length("last_key") + F.coalesce(F.octet_length("response_url"), F.lit(0)).cast("long")), F.col("key") == F.col("last_key"), "left")
+    first = F.col("page_id").eqNullSafe(F.col("response")) & F.col("url").eqNullSafe(F.col("response_url"))
+    revisit = F.coalesce((F.col("size") >= least_revisit) & F.col("response").isNotNull() & ~first, F.lit(False))
+    marked = joined.withColumn("revisit", revisit)
+    # of n rows wholly alike that are the response, one is kept and stands for all: a response and n - 1 revisits
+    tied = marked.where((F.col("alike") > 1) & first & (F.col("size") >= least_revisit))
+    one = tied.groupBy("key", "page_id", "url", "response", "size").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    again = one.select("page_id", "url", "html", "size", "response", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).withColumn("revisit", F.col("i") > 1)
+    columns = ["page_id", "url", "html", "size", "revisit", F.when(F.col("revisit"), F.col("response")).alias("refers_to")]
+    plain = marked.where(~F.coalesce((F.col("alike") > 1) & first & (F.col("size") >= least_revisit), F.lit(False)))
+    if last.where("alike > 1").isEmpty():
+        return plain.select(*columns)
+    return plain.select(*columns).unionAll(again.select(*columns))
 
 
 def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -167,26 +187,50 @@ def write(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_
     return pages.select("page_id", "url", "html", "size", "revisit", "refers_to").mapInPandas(run, INDEX)
 
 
+def open_bundle(files, path: str) -> tuple[object, list[int]]:
+    """A bundle and where its frames start, with their end, from the seek table in its last bytes."""
+    source = files.open_input_file(path)
+    size = source.size()
+    source.seek(max(0, size - 9))
+    n = struct.unpack("<IBI", source.read(9))[0]
+    source.seek(max(0, size - 9 - 8 * n))
+    starts = [0]
+    for packed, _ in read_seek_table(source.read(9 + 8 * n)):
+        starts.append(starts[-1] + packed)
+    if starts[-1] + 17 + 8 * n != size:
+        raise ValueError(f"{path}: the seek table does not fit the bundle")
+    return source, starts
+
+
 def read(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that an index names, each read at its place; a frame is fetched and opened once for those of it
-    that come together. A response whose payload does not match its digest fails the task."""
+    """The records that an index names, each read at its place: its frame by the bundle's own seek table, and in it by
+    offset. A frame is fetched and opened once for those of its records that come together.
+
+    A frame whose place differs from the index, and a response whose payload does not match its digest, fail the task.
+    A revisit has no payload; its digest is the one that it states. Columns besides the index's are dropped.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
         from pyarrow import fs
 
         stretch = zstandard.ZstdDecompressor()
-        path, source, place, frame = None, None, None, b""
+        path, source, starts, place, frame = None, None, [], None, b""
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 if r.path != path:
                     files, base = fs.FileSystem.from_uri(r.path)
-                    path, source, place = r.path, files.open_input_file(base), None
-                if r.frame_offset != place:
-                    place = r.frame_offset
-                    source.seek(place)
-                    frame = stretch.decompress(source.read(r.frame_bytes))
+                    if source is not None:
+                        source.close()
+                    path, place = r.path, None
+                    source, starts = open_bundle(files, base)
+                if r.frame != place:
+                    place = r.frame
+                    if starts[place] != r.frame_offset or starts[place + 1] - starts[place] != r.frame_bytes:
+                        raise ValueError(f"{r.path}: frame {place} is not where the index has it")
+                    source.seek(starts[place])
+                    frame = stretch.decompress(source.read(starts[place + 1] - starts[place]))
                 found = parse(frame[r.record_offset : r.record_offset + r.record_bytes])
                 head, kind = found["headers"], found["headers"]["warc-type"]
                 stated = head["warc-payload-digest"].removeprefix("sha1:")
@@ -197,14 +241,15 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                 rows.append((None if page is None else int(page), head.get("warc-target-uri"), kind, None if refers is None else int(refers), found["body"] if payloads and kind == "response" else None, found["size"], own, stated))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return index.mapInPandas(run, READ)
+    return index.select(*(x.split()[0] for x in INDEX.split(", "))).mapInPandas(run, READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to bundles and return their index, itself kept in the shared folder.
 
     A null html is an empty payload, a null url leaves out the target; repeated rows are records of their own. An
-    empty table writes no bundle and gives an empty index.
+    empty table writes no bundle and gives an empty index. Other columns of ``pages`` are not archived. A payload has
+    less than 4 GiB, the most that a frame of the format may hold (and twice what a string of Spark holds).
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -213,6 +258,10 @@ def archive(pages: DataFrame, folder: str | None = None, least_revisit: int = LE
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page's record says when it is read back from the archives; null html is an empty payload.
+
+    An empty table gives no rows, a null page_id is a record without the page's number.
+    """
     index = archive(table(spark, sf_dir, "pages"))
     return read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
