@@ -37,13 +37,29 @@ def sample_columns(kept: DataFrame, per_marker: int, seed: int = 0) -> DataFrame
 
 
 def apply_mask(msa: DataFrame, mask: str) -> DataFrame:
-    """Sequences cut to the columns where ``mask`` has a 1; a sequence of another length fails."""
-    keep = F.array(*(F.lit(i) for i, m in enumerate(mask) if m == "1"))
-    cut = F.array_join(F.transform(keep, lambda i: F.substring(F.col("seq"), i + 1, F.lit(1))), "")
-    checked = F.when(F.length("seq") != len(mask), F.raise_error(F.concat(F.lit("length differs from the mask's: "), F.col("id")))).otherwise(cut)
+    """Sequences cut to the columns where ``mask`` has a 1; a sequence of another length fails. One pass over each row."""
+    keep = F.split(F.lit(mask.strip()), "")
+    cut = F.array_join(F.filter(F.split("seq", ""), lambda c, i: F.get(keep, i) == "1"), "")
+    checked = F.when(F.length("seq") != len(mask.strip()), F.raise_error(F.concat(F.lit("length differs from the mask's: "), F.col("id")))).otherwise(cut)
     return msa.withColumn("seq", checked)
 
 
+def trim_statistics(msa: DataFrame, least_percent: float) -> DataFrame:
+    """Every sequence's length, percent of letters and whether it has ``least_percent`` of them; an empty one has none."""
+    percent = F.coalesce(residue_percent(F.col("seq")), F.lit(0.0))
+    return msa.select("id", F.length("seq").alias("length"), percent.alias("percent"), (percent >= least_percent).alias("kept"))
+
+
+def columns_per_marker(kept: DataFrame) -> DataFrame:
+    """Mean and population deviation of the number of columns (marker_id, col) over markers."""
+    return kept.groupBy("marker_id").agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("deviation"))
+
+
+def marker_slices(msa: DataFrame, placed: DataFrame) -> DataFrame:
+    """(marker_id, id, seq): the part of every concatenated sequence that a marker has, by its offsets."""
+    return msa.crossJoin(placed.select("marker_id", "start", "length")).select("marker_id", "id", F.col("seq").substr((F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("seq"))
+
+
 def prune(msa: DataFrame, least: float) -> DataFrame:
     """``kept`` for sequences of which at least ``least`` of the columns are neither ``.`` nor ``-``."""
     valid = F.length(F.translate("seq", "-.", ""))
@@ -66,14 +82,17 @@ def offsets(markers: DataFrame) -> DataFrame:
 
 def concatenate(aligned: DataFrame, markers: DataFrame, genomes: DataFrame) -> DataFrame:
     """One row a genome: its marker alignments in order, gaps for those it lacks."""
-    grid = genomes.select("id").distinct().crossJoin(F.broadcast(markers.select("marker_id", "length")))
+    grid = genomes.select("id").distinct().crossJoin(markers.select("marker_id", "length"))
     filled = grid.join(aligned, ["id", "marker_id"], "left").withColumn("seq", F.coalesce("seq", F.expr("repeat('-', length)")))
     return filled.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("marker_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
 
 
-def owner(cols: DataFrame, placed: DataFrame) -> DataFrame:
-    """The marker of every alignment column, by its offsets."""
-    return cols.join(F.broadcast(placed), (F.col("col") >= F.col("start")) & (F.col("col") < F.col("end"))).select(*cols.columns, "marker_id")
+def owner(cols: DataFrame, placed: DataFrame, bin_width: int = 64) -> DataFrame:
+    """The marker of every alignment column, by its offsets: both sides meet by bins of columns, each marker in its few."""
+    bins = lambda c: F.floor(F.col(c) / bin_width)
+    each = placed.where("length > 0").select("marker_id", "start", "end", F.explode(F.sequence(bins("start"), F.floor((F.col("end") - 1) / bin_width))).alias("bin"))
+    met = cols.withColumn("bin", bins("col")).join(each, "bin").where((F.col("col") >= F.col("start")) & (F.col("col") < F.col("end")))
+    return met.select(*cols.columns, "marker_id")
 
 
 def filter_by_taxa(msa: DataFrame, taxonomy: DataFrame, wanted: list[str]) -> DataFrame:

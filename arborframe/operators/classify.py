@@ -29,7 +29,7 @@ def merge_lineages(pairs: DataFrame, classes: list[str], phyla: list[str]) -> Da
 
     ``pairs`` has query, backbone and subtree (arrays of seven). The first rule that holds counts: 1 neither names a
     class; 2 the subtree's class is valid and the backbone agrees; 3 it is valid and the backbone does not; 4 and 5 the
-    same for the phylum, the lineage then ending at the phylum; 6 the backbone stands.
+    same for the phylum, the lineage then ending at the phylum; 6 ranks on which both agree stay, others are bare.
     """
     b, c = F.col("backbone"), F.col("subtree")
     at = lambda x, k: F.get(x, F.lit(k))
@@ -38,7 +38,8 @@ def merge_lineages(pairs: DataFrame, classes: list[str], phyla: list[str]) -> Da
         F.when((at(b, 2) == "c__") & (at(c, 2) == "c__"), 1).when(valid_class & (at(b, 2) == at(c, 2)), 2).when(valid_class, 3)
         .when(valid_phylum & (at(b, 1) == at(c, 1)), 4).when(valid_phylum, 5).otherwise(6)
     )
-    lineage = F.when(F.col("rule").isin(2, 3), c).when(F.col("rule").isin(4, 5), limit_rank(c, 1)).otherwise(b)
+    common = F.transform(F.array(*map(F.lit, RANKS)), lambda p, i: F.when(F.get(b, i) == F.get(c, i), F.get(b, i)).otherwise(p))
+    lineage = F.when(F.col("rule").isin(2, 3), c).when(F.col("rule").isin(4, 5), limit_rank(c, 1)).when(F.col("rule") == 6, common).otherwise(b)
     warning = F.when(F.col("rule") == 3, "backbone and class-level trees name different classes").when(F.col("rule") == 4, "classification restricted to the phylum").when(F.col("rule") == 5, "backbone and class-level trees name different phyla")
     return pairs.withColumn("rule", rule).select("query", "rule", lineage.alias("taxa"), warning.alias("warning"))
 
@@ -110,3 +111,94 @@ def classify_by_divergence(encoded: DataFrame, red: DataFrame, queries: DataFram
         decided.withColumn("rank_idx", rank_index(F.col("rank"))).join(held.select("tree_id", F.col("anc_id").alias("cur"), "taxa"), ["tree_id", "cur"]).select("query", "rank_idx", "taxa")
     )
     return decided.join(lineage, "query").select("tree_id", "query", "case", "rank", "cur_red", standardise(F.col("taxa"), F.lit(domain)).alias("taxa"))
+
+
+def _near(red: Column, taxon_or_rank: Column, medians: dict[str, float]) -> Column:
+    """Distance of a divergence from the median of a rank (the first three letters of a taxon)."""
+    median = F.create_map(*(x for rank, m in medians.items() for x in (F.lit(rank), F.lit(float(m)))))
+    return F.abs(red - F.element_at(median, F.substring(taxon_or_rank, 1, 3)))
+
+
+def terminal_rank(taxa: Column, parent_idx: Column, red: Column, medians: dict[str, float]) -> Column:
+    """Index of the lowest rank, from below ``parent_idx`` to the genus, whose median is nearer to ``red`` than that of
+    the rank above; the parent's if there is none."""
+    ranks = F.array(*map(F.lit, RANKS))
+    below = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda k: (k > parent_idx) & (F.get(taxa, k) != ""))
+    won = F.filter(below, lambda k: _near(red, F.get(ranks, k), medians) < _near(red, F.get(ranks, k - 1), medians))
+    return F.coalesce(F.array_max(won), parent_idx).cast("int")
+
+
+def terminal_branch(taxa: Column, parent_idx: Column, red: Column, medians: dict[str, float]) -> Column:
+    """Lineage of a query on the branch of the single reference with ``taxa``: down to :func:`terminal_rank`, which is
+    the class at least; lower ranks are bare."""
+    return limit_rank(taxa, F.greatest(terminal_rank(taxa, parent_idx, red, medians), F.lit(2)))
+
+
+def internal_rank(child_taxa: Column, child_red: Column, parent: Column, red: Column, medians: dict[str, float], every: bool = False) -> Column:
+    """The taxon of a child node, or else its parent's, whose rank a query between them has.
+
+    The first taxon counts if ``red`` is nearer to its rank's median than the child's divergence and than the parent's
+    rank. A further one is never taken, as its test compares a value with itself; with ``every`` it is compared with
+    the taxon before it instead, and the deepest that holds wins.
+    """
+    first = F.get(child_taxa, F.lit(0))
+    takes = (_near(red, first, medians) < _near(child_red, first, medians)) & (_near(red, first, medians) < _near(red, parent, medians))
+    plain = F.when(takes, first).otherwise(parent)
+    if not every:
+        return plain
+    tests = F.transform(
+        child_taxa, lambda t, i: F.when((i > 0) & (_near(red, t, medians) < _near(red, F.get(child_taxa, i - 1), medians)) & (_near(red, t, medians) < _near(child_red, t, medians)), t)
+    )
+    won = F.array_compact(tests)
+    return F.coalesce(F.when(F.size(won) > 0, F.element_at(won, -1)), plain)
+
+
+def backbone(encoded: DataFrame, red: DataFrame, queries: DataFrame, references: DataFrame, medians: dict[str, float], domain: str, every: bool = False) -> DataFrame:
+    """Three lineages of every query leaf of a backbone tree, with its divergence and whether it is on a terminal branch.
+
+    ``references`` has tree_id, node_id (a leaf) and taxa. ``placement`` is what the labels above the query say. On a
+    branch with one reference ``terminal`` follows that reference. ``red_taxa`` follows the divergence between the last
+    label above and the first label of the next rank below the lowest ancestor with references; where references
+    differ at that rank, the placement stands. A lineage by divergence above the class, under a child that names a class,
+    lends it to ``terminal`` if the query has no terminal branch.
+    """
+    leaves = queries.select("tree_id", "node_id")
+    held = tree.closure(encoded).join(references.select("tree_id", F.col("node_id").alias("desc_id"), "taxa"), ["tree_id", "desc_id"])
+    with_refs = held.groupBy("tree_id", F.col("anc_id").alias("cur")).agg(F.count("*").alias("n_refs"), F.min_by("taxa", "desc_id").alias("ref_taxa"), F.collect_set("taxa").alias("all_taxa"))
+    cur = tree.first_above(encoded, leaves, with_refs.withColumnRenamed("cur", "node_id"), strict=True).withColumnRenamed("anc_id", "cur")
+    placed = tree.lineages(encoded, with_root=False).select("tree_id", "node_id", F.col("taxa").alias("labels"))
+    base = leaves.join(cur, ["tree_id", "node_id"]).join(with_refs, ["tree_id", "cur"]).join(placed, ["tree_id", "node_id"], "left")
+    measured = encoded.join(red, ["tree_id", "node_id"]).where("red < 1").select("tree_id", "node_id")
+    known = tree.first_above(encoded, leaves, measured, strict=True).join(red.select("tree_id", F.col("node_id").alias("anc_id"), "red"), ["tree_id", "anc_id"]).select("tree_id", "node_id", "red")
+    base = base.join(known, ["tree_id", "node_id"], "left").withColumn("red", F.coalesce("red", F.lit(1.0)))
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    parent = F.when(F.size(labels) > 0, F.element_at(labels, -1)).otherwise(F.lit(domain))
+    base = base.withColumn("parent", parent).withColumn("parent_idx", rank_index(F.substring("parent", 1, 3)))
+    inner = encoded.where("taxon IS NOT NULL AND NOT is_leaf").select("tree_id", F.col("node_id").alias("desc_id"), "taxon", "path")
+    wanted = base.select("tree_id", "cur", "parent_idx").distinct()
+    below = tree.closure(encoded, leaves_only=False).withColumnRenamed("anc_id", "cur").join(wanted, ["tree_id", "cur"]).join(inner, ["tree_id", "desc_id"])
+    below = below.where(rank_index(F.substring("taxon", 1, 3)) == F.col("parent_idx") + 1).groupBy("tree_id", "cur", "parent_idx").agg(F.min_by(F.struct("desc_id", "taxon"), "path").alias("c"))
+    child = below.select("tree_id", "cur", "parent_idx", F.transform(F.split("c.taxon", ";"), lambda t: F.trim(t)).alias("child_taxa"), F.col("c.desc_id").alias("node_id"))
+    child = child.join(red.select("tree_id", "node_id", F.col("red").alias("child_red")), ["tree_id", "node_id"]).drop("node_id")
+    rows = base.join(child, ["tree_id", "cur", "parent_idx"], "left")
+    terminal = F.col("n_refs") == 1
+    own = terminal_branch(F.col("ref_taxa"), F.col("parent_idx"), F.col("red"), medians)
+    one_name = F.size(F.array_distinct(F.transform("all_taxa", lambda t: F.get(t, F.col("parent_idx") + 1)))) == 1
+    has_child = F.col("child_taxa").isNotNull()
+    by_child = internal_rank(F.col("child_taxa"), F.col("child_red"), F.col("parent"), F.col("red"), medians, every)
+    idx = F.when(has_child, rank_index(F.substring(by_child, 1, 3))).when(terminal, terminal_rank(F.col("ref_taxa"), F.col("parent_idx"), F.col("red"), medians)).otherwise(F.col("parent_idx"))
+    placement = standardise(F.filter(labels, lambda t: t != domain), F.lit(domain))
+    by_red = F.when((F.col("parent_idx") == 5) | ~one_name, placement).otherwise(limit_rank(F.col("ref_taxa"), idx))
+    lends = has_child & one_name & (F.col("parent_idx") < 5) & F.exists("child_taxa", lambda t: t.startswith("c__")) & (idx < 2) & ~terminal
+    bare = standardise(F.array().cast("array<string>"), F.lit(domain))
+    last = F.when(terminal, own).when(lends, limit_rank(F.col("ref_taxa"), 2)).otherwise(bare)
+    return rows.select("tree_id", F.col("node_id").alias("query"), by_red.alias("red_taxa"), last.alias("terminal"), placement.alias("placement"), terminal.alias("is_terminal"), "red")
+
+
+def route_backbone(placed: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Subtree of every query of :func:`backbone` by its class, which lineage named it, and the rule of those that stay."""
+    at = lambda c: F.nullif(F.get(c, F.lit(2)), F.lit("c__"))
+    named = placed.select("query", at("red_taxa").alias("red_class"), at("terminal").alias("terminal_class"))
+    routed = route(named, mapping).join(named, "query")
+    kind = F.when(F.col("red_class").isNotNull(), "RED").when(F.col("terminal_class").isNotNull(), "TERMINAL")
+    return routed.select("query", "class", "tree_id", kind.alias("named_by"), F.when(kind.isNull(), "Rule 1").alias("rule"))

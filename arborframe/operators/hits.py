@@ -35,13 +35,13 @@ def copy_number(hits: DataFrame, markers: DataFrame, genomes: DataFrame) -> Data
     """Status of every marker in every genome, with the top gene where one is used.
 
     ``mis`` without hits, ``unq`` with one, ``muq`` with several of one sequence (a trailing ``*`` does not count),
-    ``mul`` with several sequences. ``markers`` is a fixed list and is broadcast by its size.
+    ``mul`` with several sequences. ``markers`` is a list of fixed length.
     """
     seen = (
         hits.groupBy("genome_id", "marker_id")
         .agg(F.count("*").alias("n"), F.count_distinct(F.regexp_replace("seq", r"\*$", "")).alias("n_seq"), F.min(F.struct((-F.col("bit_score")).alias("b"), "e_val", "gene_id")).alias("top"))
     )
-    grid = genomes.select("genome_id").distinct().crossJoin(F.broadcast(markers.select("marker_id").distinct()))
+    grid = genomes.select("genome_id").distinct().crossJoin(markers.select("marker_id").distinct())
     status = F.when(F.col("n").isNull(), "mis").when(F.col("n") == 1, "unq").when(F.col("n_seq") == 1, "muq").otherwise("mul")
     return grid.join(seen, ["genome_id", "marker_id"], "left").select(
         "genome_id", "marker_id", status.alias("status"), F.when(status.isin("unq", "muq"), F.col("top.gene_id")).alias("gene_id")
@@ -87,3 +87,23 @@ def coding_bases(genes: DataFrame) -> DataFrame:
     reached = genes.withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin") - 1, F.col("reached")))
     return reached.groupBy("genome_id", "contig").agg((F.sum(new) - 1).alias("coding_bases"))
+
+
+def coding_density(genes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Coding bases over the length of every genome (contigs: genome_id, contig, length); contigs without genes count."""
+    covered = contigs.join(coding_bases(genes), ["genome_id", "contig"], "left")
+    return covered.groupBy("genome_id").agg(F.coalesce(F.sum("coding_bases"), F.lit(0)).alias("coding_bases"), F.sum("length").alias("length")).withColumn("density", F.try_divide("coding_bases", "length"))
+
+
+def merged_by_model(*tables: DataFrame) -> DataFrame:
+    """Hits of several databases together, and how many genes and hits each model has."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    return rows.groupBy("hmm_id").agg(F.count_distinct("gene_id").alias("n_genes"), F.count("*").alias("n_hits"), F.max("bit_score").alias("best_bit"))
+
+
+def lookup(hits: DataFrame, gene_id, hmm_id=None) -> DataFrame:
+    """The hits of a gene, or its hit of one model; none if it has none."""
+    found = hits.where(F.col("gene_id") == gene_id)
+    return found if hmm_id is None else found.where(F.col("hmm_id") == hmm_id)

@@ -160,6 +160,51 @@ def strip_taxa(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("taxon", F.lit(None).cast("string"))
 
 
+def strip_labels(encoded: DataFrame) -> DataFrame:
+    """Inner nodes without any label, support included; leaves stay."""
+    gone = [c for c in ("support", "taxon", "aux", "label") if c in encoded.columns]
+    return encoded.select(*(F.when(F.col("is_leaf"), F.col(c)).alias(c) if c in gone else F.col(c) for c in encoded.columns))
+
+
+def named_divergence(encoded: DataFrame, red: DataFrame) -> DataFrame:
+    """Divergence of labelled inner nodes, by the last taxon of each label."""
+    labelled = encoded.where("taxon IS NOT NULL AND NOT is_leaf").select("tree_id", "node_id", F.trim(F.element_at(F.split("taxon", ";"), -1)).alias("taxon"))
+    return labelled.join(red.select("tree_id", "node_id", "red"), ["tree_id", "node_id"])
+
+
+def labelled_node(encoded: DataFrame, taxon: str) -> DataFrame:
+    """(tree_id, node_id) of the one node that ``taxon`` labels; a tree with none has no row, one with several fails."""
+    holds = F.array_contains(F.transform(F.split("taxon", ";"), lambda t: F.trim(t)), taxon)
+    found = encoded.where(holds).groupBy("tree_id").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id"))
+    return found.select("tree_id", F.when(F.col("n") > 1, F.raise_error(F.lit(f"{taxon} labels several nodes"))).otherwise(F.col("node_id")).alias("node_id"))
+
+
+def pair_divergence(encoded: DataFrame, table: DataFrame) -> DataFrame:
+    """(tree_id, node_id, red) of a table (labels, red) that names inner nodes by two leaves, as ``a|b``."""
+    named = table.where(F.size(F.split("labels", r"\|")) == 2).select("labels", "red", F.explode(F.split("labels", r"\|")).alias("node_id"))
+    members = named.join(encoded.where("is_leaf").select("tree_id", "node_id"), "node_id").select("tree_id", F.col("labels").alias("set_id"), "node_id")
+    both = members.groupBy("tree_id", "set_id").count().where("count = 2").drop("count")
+    tops = common_ancestor(encoded, members.join(both, ["tree_id", "set_id"], "left_semi"))
+    return tops.join(table.select(F.col("labels").alias("set_id"), "red"), "set_id").select("tree_id", F.col("mrca").alias("node_id"), "red")
+
+
+def first_taxa(encoded: DataFrame, prefix: str) -> DataFrame:
+    """Nodes whose last taxon has a rank's prefix, with the taxa from the root down to it, in the order of their paths."""
+    last = F.trim(F.element_at(F.split("taxon", ";"), -1))
+    wanted = encoded.where(last.startswith(prefix)).select("tree_id", "node_id", "path")
+    labels = encoded.where("taxon IS NOT NULL").select("tree_id", F.col("node_id").alias("anc_id"), "taxon")
+    up = wanted.select("tree_id", "node_id", "path", F.posexplode("path").alias("k", "anc_id")).join(labels, ["tree_id", "anc_id"])
+    found = up.groupBy("tree_id", "node_id", "path").agg(F.array_sort(F.collect_list(F.struct("k", "taxon"))).alias("l"))
+    return found.select("tree_id", "node_id", "path", F.array_join(F.flatten(F.transform("l", lambda x: F.transform(F.split(x["taxon"], ";"), lambda t: F.trim(t)))), ";").alias("lineage"))
+
+
+def nearest_marked(encoded: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """For each node, the marked leaves below its lowest ancestor (or itself) that has any: (tree_id, node_id, anc_id, leaf)."""
+    held = closure(encoded).join(marked.select("tree_id", F.col("node_id").alias("desc_id")).distinct(), ["tree_id", "desc_id"], "left_semi").select("tree_id", "anc_id", F.col("desc_id").alias("leaf"))
+    lowest = first_above(encoded, nodes, held.select("tree_id", F.col("anc_id").alias("node_id")))
+    return lowest.join(held, ["tree_id", "anc_id"])
+
+
 def median_over_rootings(divergence: DataFrame) -> DataFrame:
     """Median of a node's divergence over several rootings (rooting, node_id, red)."""
     return divergence.groupBy("node_id").agg(F.median("red").alias("red"))

@@ -72,7 +72,7 @@ walk AS (
 def standardise_lineage(spark, sf_dir):
     rows = lineage(spark, sf_dir)
     cut = F.expr("slice(taxa, 2, cast(genome_id % 6 as int) + 1)")
-    return rows.select("genome_id", F.array_join(N.standardise(cut, F.get("taxa", F.lit(0))), ";").alias("lineage"), F.array_join(N.limit_rank(F.col("taxa"), 3), ";").alias("to_order"), N.is_full(F.col("taxa")).alias("is_full"))
+    return rows.select("genome_id", F.array_join(N.standardise(cut, F.get("taxa", F.lit(0))), ";").alias("lineage"), F.array_join(N.limit_rank(F.col("taxa"), 3), ";").alias("to_order"), N.is_full(F.when(F.col("genome_id") % 4 == 0, cut).otherwise(F.col("taxa"))).alias("is_full"))
 
 
 def rollup_lineage(spark, sf_dir):
@@ -81,7 +81,7 @@ def rollup_lineage(spark, sf_dir):
 
 def children_parents(spark, sf_dir):
     rows = lineage(spark, sf_dir)
-    kids = T.children(rows).select("rank_idx", "taxon", F.size("children").alias("n_children"), F.get("children", F.lit(0)).alias("first_child"))
+    kids = T.children(rows).select("rank_idx", "taxon", F.size("children").alias("n_children"), F.get("children", F.lit(0)).alias("first_child"), F.md5(F.array_join("children", ",")).alias("all_children"))
     return kids.join(T.parents(rows), ["rank_idx", "taxon"])
 
 
@@ -94,7 +94,7 @@ def validate_taxonomy(spark, sf_dir):
     odd = lineage(spark, sf_dir).withColumn(
         "taxa", F.when(F.col("genome_id") % 10 == 1, F.expr("slice(taxa, 1, 6)")).when(F.col("genome_id") % 10 == 2, F.transform("taxa", lambda t, i: F.when(i == 2, F.concat(F.lit("x"), t)).otherwise(t))).otherwise(F.col("taxa"))
     )
-    return T.problems(odd).where("kind <> 'several parents'")
+    return T.problems(odd)
 
 
 def majority_vote(spark, sf_dir):
@@ -139,7 +139,7 @@ def tree_closure(spark, sf_dir):
 
 def tree_mrca(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    members = c.select(F.lit(1).alias("tree_id"), (F.col("c_custkey") % 50).alias("set_id"), F.concat(F.lit("c-"), "c_custkey").alias("node_id")).where("set_id > 40").unionAll(
+    members = c.select(F.lit(1).alias("tree_id"), (F.col("c_custkey") % 50).alias("set_id"), F.concat(F.lit("c-"), "c_custkey").alias("node_id")).unionAll(
         c.where("c_nationkey < 5").select(F.lit(1), F.lit(1000) + F.col("c_nationkey"), F.concat(F.lit("c-"), "c_custkey"))
     )
     return R.common_ancestor(R.encode(nodes(spark, sf_dir)), members).select("set_id", "mrca")
@@ -177,7 +177,7 @@ def clade_best(spark, sf_dir):
     encoded = R.encode(nodes(spark, sf_dir))
     best = R.best_nodes(R.clade_statistics(encoded, leaf_taxa(spark, sf_dir)), encoded)
     sides = R.rogues(encoded, leaf_taxa(spark, sf_dir), best)
-    return best.where("taxon <> 'p__stray'").join(sides, ["tree_id", "rank_idx", "taxon"], "left").select("taxon", "node_id", "n_best", F.coalesce(F.size("rogue_in"), F.lit(0)).alias("n_in"), F.coalesce(F.size("rogue_out"), F.lit(0)).alias("n_out"))
+    return best.join(sides, ["tree_id", "rank_idx", "taxon"], "left").select("taxon", "node_id", "n_best", F.coalesce(F.size("rogue_in"), F.lit(0)).alias("n_in"), F.coalesce(F.size("rogue_out"), F.lit(0)).alias("n_out"))
 
 
 def tree_lineages(spark, sf_dir):
@@ -196,7 +196,7 @@ def rules_merge(spark, sf_dir):
 
 
 def consensus_rank(spark, sf_dir):
-    rows = lineage(spark, sf_dir).select((F.col("genome_id") % 40).alias("query"), F.lit(4).alias("rank_idx"), "taxa").where("query > 30").unionAll(
+    rows = lineage(spark, sf_dir).select((F.col("genome_id") % 40).alias("query"), F.lit(4).alias("rank_idx"), "taxa").unionAll(
         lineage(spark, sf_dir).where("genome_id % 9 = 0").select((F.col("genome_id") + 1000).alias("query"), F.lit(3), "taxa")
     )
     return C.consensus_lineage(rows).select("query", F.array_join("taxa", ";").alias("lineage"))
@@ -240,13 +240,13 @@ s AS (
 SQL = {
     "standardise_lineage": f"""WITH {LINEAGE}
 SELECT genome_id, array_to_string(list_transform(range(1, 8), lambda k: CASE WHEN k <= genome_id % 6 + 2 THEN taxa[k] ELSE {_P}[k] END), ';') AS lineage,
-  array_to_string(list_transform(range(1, 8), lambda k: CASE WHEN k <= 4 THEN taxa[k] ELSE {_P}[k] END), ';') AS to_order, true AS is_full FROM lineage""",
+  array_to_string(list_transform(range(1, 8), lambda k: CASE WHEN k <= 4 THEN taxa[k] ELSE {_P}[k] END), ';') AS to_order, genome_id % 4 <> 0 AS is_full FROM lineage""",
     "rollup_lineage": f"WITH {LINEAGE} SELECT CAST(rank_idx AS INTEGER) AS rank_idx, taxon, count(DISTINCT genome_id) AS n_genomes FROM long GROUP BY ALL",
     "children_parents": f"""WITH {LINEAGE},
 k AS (SELECT rank_idx, taxon, coalesce(lead(taxon) OVER (PARTITION BY genome_id ORDER BY rank_idx), CAST(genome_id AS VARCHAR)) AS child FROM long),
-kids AS (SELECT rank_idx, taxon, CAST(count(DISTINCT child) AS INTEGER) AS n_children, min(child) AS first_child FROM k GROUP BY ALL),
+kids AS (SELECT rank_idx, taxon, CAST(count(DISTINCT child) AS INTEGER) AS n_children, min(child) AS first_child, md5(string_agg(DISTINCT child, ',' ORDER BY child)) AS all_children FROM k GROUP BY ALL),
 pa AS (SELECT rank_idx, taxon, array_to_string(taxa[1:rank_idx], ';') AS l FROM long JOIN lineage USING (genome_id))
-SELECT CAST(rank_idx AS INTEGER) AS rank_idx, taxon, n_children, first_child, lineage, n_lineages
+SELECT CAST(rank_idx AS INTEGER) AS rank_idx, taxon, n_children, first_child, all_children, lineage, n_lineages
 FROM kids JOIN (SELECT rank_idx, taxon, min(l) AS lineage, count(DISTINCT l) AS n_lineages FROM pa GROUP BY ALL) USING (rank_idx, taxon)""",
     "duplicate_names": f"""WITH {LINEAGE}
 SELECT 5 AS rank_idx, 'g__shared' AS taxon, count(DISTINCT array_to_string(taxa[1:5], ';')) AS n_lineages FROM lineage WHERE genome_id % 4 = 0
@@ -254,7 +254,11 @@ UNION ALL SELECT 6, taxa[7], count(DISTINCT CASE WHEN genome_id % 4 = 0 THEN 'g_
     "validate_taxonomy": f"""WITH {LINEAGE}
 SELECT 'rank count' AS kind, CAST(genome_id AS VARCHAR) AS subject, '6' AS detail FROM lineage WHERE genome_id % 10 = 1
 UNION ALL SELECT 'prefix', CAST(genome_id AS VARCHAR), 'x' || taxa[3] FROM lineage WHERE genome_id % 10 = 2
-UNION ALL SELECT DISTINCT 'species', taxa[7], 'no generic name' FROM lineage WHERE genome_id % 10 <> 1 AND length(taxa[7]) > 3""",
+UNION ALL SELECT DISTINCT 'species', taxa[7], 'no generic name' FROM lineage WHERE genome_id % 10 <> 1 AND length(taxa[7]) > 3
+UNION ALL SELECT 'several parents', taxon, CAST(count(DISTINCT above) AS VARCHAR)
+FROM (SELECT k, t[k] AS taxon, array_to_string(t[1:k - 1], ';') AS above FROM (
+  SELECT unnest(range(1, len(t) + 1)) AS k, t FROM (SELECT CASE genome_id % 10 WHEN 1 THEN taxa[1:6] WHEN 2 THEN taxa[1:2] || ['x' || taxa[3]] || taxa[4:7] ELSE taxa END AS t FROM lineage)))
+WHERE length(taxon) > 3 GROUP BY k, taxon HAVING count(DISTINCT above) > 1""",
     "majority_vote": f"WITH {_VOTES} SELECT * FROM v",
     "resolved_votes": f"WITH {_VOTES} SELECT cluster, arg_max(winner, rank_idx) AS taxon, max(rank_idx) AS rank_idx FROM v WHERE winner IS NOT NULL GROUP BY cluster",
     "median_of_medians": f"WITH {_DIV} SELECT * FROM rm",
@@ -271,7 +275,7 @@ k AS (SELECT rank_idx, taxon, coalesce(lead(taxon) OVER (PARTITION BY genome_id
 SELECT CAST(rank_idx AS INTEGER) AS rank_idx, taxon FROM k GROUP BY ALL HAVING count(DISTINCT child) >= 3 OR rank_idx = 6""",
     "tree_closure": f"WITH RECURSIVE {NODES}, {_CLOSE} SELECT anc AS node_id, count(*) AS n_leaves, round(avg(c.dist) - any_value(w.dist), 6) AS mean_dist FROM c JOIN walk w ON w.id = c.anc GROUP BY anc",
     "tree_mrca": f"""WITH RECURSIVE {NODES},
-m AS (SELECT c_custkey % 50 AS set_id, 'c-' || c_custkey AS id FROM customer WHERE c_custkey % 50 > 40 UNION ALL SELECT 1000 + c_nationkey, 'c-' || c_custkey FROM customer WHERE c_nationkey < 5),
+m AS (SELECT c_custkey % 50 AS set_id, 'c-' || c_custkey AS id FROM customer UNION ALL SELECT 1000 + c_nationkey, 'c-' || c_custkey FROM customer WHERE c_nationkey < 5),
 a AS (SELECT set_id, anc, count(*) AS n FROM (SELECT set_id, unnest(path) AS anc FROM m JOIN walk USING (id)) GROUP BY ALL),
 z AS (SELECT set_id, count(*) AS n FROM m GROUP BY set_id)
 SELECT a.set_id, arg_max(anc, depth) AS mrca FROM a JOIN z ON a.set_id = z.set_id AND a.n = z.n JOIN walk ON walk.id = anc GROUP BY a.set_id""",
@@ -289,16 +293,17 @@ b AS (SELECT taxon, max(f) AS f FROM s GROUP BY taxon),
 t AS (SELECT s.taxon, arg_max(node_id, walk.path) AS node_id, count(*) AS n_best FROM s JOIN b ON s.taxon = b.taxon AND s.f = b.f JOIN walk ON walk.id = node_id GROUP BY s.taxon)
 SELECT t.taxon, node_id, n_best, CAST((SELECT count(*) FROM c JOIN x USING (leaf) WHERE c.anc = t.node_id AND x.taxon <> t.taxon) AS INTEGER) AS n_in,
   CAST((SELECT count(*) FROM x WHERE x.taxon = t.taxon AND x.leaf NOT IN (SELECT leaf FROM c WHERE c.anc = t.node_id)) AS INTEGER) AS n_out
-FROM t WHERE t.taxon <> 'p__stray'""",
+FROM t""",
     "tree_lineages": "SELECT 'c-' || c_custkey AS node_id, 'd__' || r_name || ';p__' || n_name AS lineage FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "rules_merge": f"""WITH {LINEAGE},
 a AS (SELECT genome_id AS q, list_transform(range(1, 8), lambda k: CASE WHEN genome_id % 3 = 0 AND k > 2 THEN {_P}[k] ELSE taxa[k] END) AS b,
   list_transform(range(1, 8), lambda k: CASE WHEN genome_id % 6 < 2 AND k > 2 THEN {_P}[k] WHEN genome_id % 4 = 0 AND k > 1 THEN taxa[k] || 'x' ELSE taxa[k] END) AS c FROM lineage),
 r AS (SELECT *, c[3] IN ('c__FRANCE-BUILDING', 'c__CHINA-BUILDING', 'c__NATION_3-BUILDING') AS vc, c[2] IN ('p__FRANCE', 'p__CHINA', 'p__NATION_1', 'p__NATION_3', 'p__NATION_5x') AS vp FROM a),
 s AS (SELECT *, CASE WHEN b[3] = 'c__' AND c[3] = 'c__' THEN 1 WHEN vc AND b[3] = c[3] THEN 2 WHEN vc THEN 3 WHEN vp AND b[2] = c[2] THEN 4 WHEN vp THEN 5 ELSE 6 END AS rule FROM r)
-SELECT q AS query, rule, array_to_string(CASE WHEN rule IN (2, 3) THEN c WHEN rule IN (4, 5) THEN list_transform(range(1, 8), lambda k: CASE WHEN k > 2 THEN {_P}[k] ELSE c[k] END) ELSE b END, ';') AS lineage FROM s""",
+SELECT q AS query, rule, array_to_string(CASE WHEN rule IN (2, 3) THEN c WHEN rule IN (4, 5) THEN list_transform(range(1, 8), lambda k: CASE WHEN k > 2 THEN {_P}[k] ELSE c[k] END)
+  WHEN rule = 6 THEN list_transform(range(1, 8), lambda k: CASE WHEN b[k] = c[k] THEN b[k] ELSE {_P}[k] END) ELSE b END, ';') AS lineage FROM s""",
     "consensus_rank": f"""WITH {LINEAGE},
-x AS (SELECT genome_id % 40 AS query, 4 AS r, taxa FROM lineage WHERE genome_id % 40 > 30 UNION ALL SELECT genome_id + 1000, 3, taxa FROM lineage WHERE genome_id % 9 = 0),
+x AS (SELECT genome_id % 40 AS query, 4 AS r, taxa FROM lineage UNION ALL SELECT genome_id + 1000, 3, taxa FROM lineage WHERE genome_id % 9 = 0),
 e AS (SELECT query, k, taxa[k] AS t FROM (SELECT query, r, taxa, unnest(range(1, 8)) AS k FROM x) WHERE k <= r + 1),
 p AS (SELECT query, k, CASE WHEN count(DISTINCT t) = 1 THEN min(t) ELSE substr(min(t), 1, 3) || 'undefined' END AS t FROM e GROUP BY ALL)
 SELECT query, string_agg(t, ';' ORDER BY k) AS lineage FROM p GROUP BY query""",

@@ -22,7 +22,8 @@ def scan_projection_filter(spark, sf_dir):
 def canonical_id(spark, sf_dir):
     s = read(spark, sf_dir, "supplier")
     raw = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "RS_GCF_").when(F.col("s_suppkey") % 3 == 1, "GCA_").otherwise("U_"), F.col("s_suppkey").cast("string"), F.lit(".1"))
-    return s.select("s_suppkey", N.canonical_id(raw).alias("canonical"), N.prefixed_id(F.regexp_replace(raw, "^RS_", "")).alias("prefixed"), N.is_float(F.col("s_name")).alias("is_number"))
+    text = F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal").cast("string")).otherwise(F.col("s_name"))
+    return s.select("s_suppkey", N.canonical_id(raw).alias("canonical"), N.prefixed_id(F.regexp_replace(raw, "^RS_", "")).alias("prefixed"), N.is_float(text).alias("is_number"), N.is_integer(F.concat(F.lit("1"), F.substring(text, 1, 1))).alias("is_integer"))
 
 
 def label_parse(spark, sf_dir):
@@ -35,7 +36,7 @@ def hit_table(spark, sf_dir) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem")
     return rows.select(
         F.col("l_orderkey").alias("gene_id"), (F.col("l_suppkey") % 3).alias("hmm_id"), F.col("l_discount").alias("e_val"), F.col("l_extendedprice").alias("bit_score"),
-        (F.col("l_orderkey") % 40).alias("genome_id"), (F.col("l_partkey") % 12).alias("marker_id"), F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.when(F.col("l_linenumber") % 2 == 0, "*").otherwise("")).alias("seq"), "l_orderkey", "l_linenumber",
+        F.col("l_orderkey").alias("genome_id"), (F.col("l_partkey") % 12).alias("marker_id"), F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.when(F.col("l_linenumber") % 2 == 0, "*").otherwise("")).alias("seq"), "l_orderkey", "l_linenumber",
     )
 
 
@@ -48,9 +49,9 @@ def tophit_per_gene(spark, sf_dir):
 
 
 def _status(spark, sf_dir):
-    rows = hit_table(spark, sf_dir).where("l_orderkey % 60 < 40 AND marker_id + genome_id <> 17")
-    few = rows.where("(l_orderkey + marker_id * 7) % 199 < 2")
-    return H.copy_number(few.withColumn("gene_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), rows, rows)
+    """Orders as genomes and their lines as hits of twelve markers: few lines of an order have a marker in common."""
+    rows = hit_table(spark, sf_dir)
+    return H.copy_number(rows.withColumn("gene_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), rows, rows)
 
 
 def copy_number_status(spark, sf_dir):
@@ -91,7 +92,10 @@ def taxa_filter(spark, sf_dir):
 
 
 def _msa(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("n_chars >= 64").select(F.col("doc_id").alias("id"), F.translate(F.substring("text", 1, 64), " .\n", "-*_").alias("seq"))
+    """Whole texts as an alignment of 64 columns: every block of 64 characters is a row, the last one filled with gaps."""
+    docs = read(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.translate("text", " .\nß", "-*_s").alias("text"))
+    blocks = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 64).cast("int") - 1)).alias("block"))
+    return blocks.select(F.concat_ws("-", "doc_id", "block").alias("id"), F.rpad(F.col("text").substr(F.col("block") * 64 + 1, F.lit(64)), 64, "-").alias("seq"))
 
 
 MASK = "1100" * 12 + "0111" * 4
@@ -106,11 +110,11 @@ def column_consensus(spark, sf_dir):
 
 
 def residue_percent(spark, sf_dir):
-    return _msa(spark, sf_dir).select("id", A.residue_percent(F.col("seq")).alias("percent"))
+    return read(spark, sf_dir, "documents").select("doc_id", A.residue_percent(F.col("text")).alias("percent"))
 
 
 def _markers(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_partkey < 120").select(F.col("p_partkey").alias("marker_id"), F.col("p_size").cast("long").alias("length"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("marker_id"), F.col("p_size").cast("long").alias("length"))
 
 
 def marker_offsets(spark, sf_dir):
@@ -123,22 +127,21 @@ def column_owner(spark, sf_dir):
 
 
 def concatenate_markers(spark, sf_dir):
-    markers = _markers(spark, sf_dir).where("marker_id < 6")
-    grid = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).crossJoin(F.broadcast(markers))
+    markers = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 12).alias("marker_id")).agg((F.max("p_size") % 10 + F.count("*") % 7 + 1).cast("long").alias("length"))
+    grid = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")).crossJoin(markers)
     aligned = grid.where("(id + marker_id) % 3 <> 0").select("id", "marker_id", F.expr("repeat(chr(cast(65 + marker_id as int)), cast(length as int))").alias("seq"))
     return A.concatenate(aligned, markers, grid)
 
 
 def _ani(spark, sf_dir):
-    """Queries against representatives (every tenth vector): cosine as ani, share of equal signs as af."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    reps = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), F.col("v").alias("w"))
+    """Queries against the representatives (every tenth vector) of their label: cosine as ani, share of equal signs as af."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("norm", norm)
+    reps = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), "label", F.col("v").alias("w"), F.col("norm").alias("w_norm"))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     same = F.size(F.filter(F.zip_with("v", "w", lambda a, b: F.signum(a) == F.signum(b)), lambda x: x)) / F.size("v")
-    # a stated set of representatives, in blocks, is what every query is compared with
-    pairs = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("query"), "v").crossJoin(reps)
-    return pairs.select("query", "ref", F.round(dot / (norm("v") * norm("w")), 9).alias("ani"), same.alias("af"))
+    pairs = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("query"), "label", "v", "norm").join(reps, "label")
+    return pairs.select("query", "ref", F.round(dot / (F.col("norm") * F.col("w_norm")), 9).alias("ani"), same.alias("af"))
 
 
 def _radius(spark, sf_dir):
@@ -238,12 +241,12 @@ def session_events(spark, sf_dir):
 
 
 def stream_dedup(spark, sf_dir):
-    """The users and types of the first events in the stream, one row an event; the SQL has no more of them."""
+    """The first event of every user and type in the stream."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.fields)
     # as a pattern, the path may be a file or a folder of part files
     events = E.stream(spark, f"{sf_dir}/events.parque[t]", fields, 64)
-    return E.first_events(events, "user_id", "event_type").select("user_id", "event_type")
+    return E.first_events(events, "user_id", "event_type").select("user_id", "event_type", "event_id")
 
 
 def minhash_similarity(spark, sf_dir):
@@ -273,33 +276,34 @@ QUERIES = {f.__name__: f for f in (
 
 _HITS = "h AS (SELECT l_orderkey AS gene_id, l_suppkey % 3 AS hmm_id, l_discount AS e_val, l_extendedprice AS bit_score FROM lineitem)"
 _STATUS = """r AS (
-  SELECT l_orderkey % 40 AS genome_id, l_partkey % 12 AS marker_id, l_orderkey * 10 + l_linenumber AS gene_id, l_discount AS e, l_extendedprice AS b,
-    l_returnflag || l_linestatus AS seq, (l_orderkey + (l_partkey % 12) * 7) % 199 < 2 AS few
-  FROM lineitem WHERE l_orderkey % 60 < 40 AND l_partkey % 12 + l_orderkey % 40 <> 17
+  SELECT l_orderkey AS genome_id, l_partkey % 12 AS marker_id, l_orderkey * 10 + l_linenumber AS gene_id, l_discount AS e, l_extendedprice AS b, l_returnflag || l_linestatus AS seq
+  FROM lineitem
 ),
-o AS (SELECT genome_id, marker_id, count(*) AS n, count(DISTINCT seq) AS k, arg_min(gene_id, (-b, e, gene_id)) AS top FROM r WHERE few GROUP BY ALL),
+o AS (SELECT genome_id, marker_id, count(*) AS n, count(DISTINCT seq) AS k, arg_min(gene_id, (-b, e, gene_id)) AS top FROM r GROUP BY ALL),
 st AS (
   SELECT genome_id, marker_id, CASE WHEN n IS NULL THEN 'mis' WHEN n = 1 THEN 'unq' WHEN k = 1 THEN 'muq' ELSE 'mul' END AS status, CASE WHEN n = 1 OR k = 1 THEN top END AS gene_id
   FROM ((SELECT DISTINCT genome_id FROM r) CROSS JOIN (SELECT DISTINCT marker_id FROM r)) LEFT JOIN o USING (genome_id, marker_id)
 )"""
-_ANI = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-h AS (
+_ANI = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+h AS MATERIALIZED (
   SELECT a.vec_id AS query, b.vec_id AS ref, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS ani,
     len(list_filter(range(1, len(a.v) + 1), lambda i: sign(a.v[i]) = sign(b.v[i]))) / len(a.v) AS af
-  FROM e a, e b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0
+  FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0
 ),
 rad AS (SELECT vec_id AS ref, 0.1::DOUBLE + (vec_id % 7) * 0.05::DOUBLE AS radius FROM embeddings WHERE vec_id % 10 = 0)"""
-_MSA = "m AS (SELECT doc_id AS id, translate(substr(text, 1, 64), ' .' || chr(10), '-*_') AS seq FROM documents WHERE n_chars >= 64)"
-_MARK = "k AS (SELECT p_partkey AS marker_id, CAST(p_size AS BIGINT) AS length FROM part WHERE p_partkey < 120),\noff AS (SELECT *, CAST(sum(length) OVER (ORDER BY marker_id) AS BIGINT) AS \"end\" FROM k)"
+_MSA = """t AS (SELECT doc_id, translate(text, ' .' || chr(10) || 'ß', '-*_s') AS text FROM documents WHERE length(text) > 0),
+m AS (SELECT doc_id || '-' || b AS id, rpad(substr(text, b * 64 + 1, 64), 64, '-') AS seq FROM (SELECT doc_id, text, unnest(range((length(text) + 63) // 64)) AS b FROM t))"""
+_MARK = "k AS (SELECT p_partkey AS marker_id, CAST(p_size AS BIGINT) AS length FROM part),\noff AS (SELECT *, CAST(sum(length) OVER (ORDER BY marker_id) AS BIGINT) AS \"end\" FROM k)"
 _KEEP = ", ".join(str(i + 1) for i, m in enumerate(MASK) if m == "1")
 _BEST = "(SELECT query, arg_min(ref, (-ani, -af, ref)) AS ref FROM {0} GROUP BY query) JOIN h USING (query, ref)"
 
 SQL = {
     "scan_projection_filter": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity < 10 AND l_discount >= 0.05::DOUBLE",
     "canonical_id": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 2 THEN 'U_' || s_suppkey || '.1' ELSE 'G' || s_suppkey END AS canonical,
-  CASE s_suppkey % 3 WHEN 0 THEN 'RS_GCF_' || s_suppkey || '.1' WHEN 1 THEN 'GB_GCA_' || s_suppkey || '.1' ELSE 'U_' || s_suppkey || '.1' END AS prefixed, false AS is_number FROM supplier""",
+  CASE s_suppkey % 3 WHEN 0 THEN 'RS_GCF_' || s_suppkey || '.1' WHEN 1 THEN 'GB_GCA_' || s_suppkey || '.1' ELSE 'U_' || s_suppkey || '.1' END AS prefixed, s_suppkey % 2 = 0 AS is_number,
+  s_suppkey % 2 = 0 AND s_acctbal >= 0 AS is_integer FROM supplier""",
     "label_parse": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS support, CASE WHEN p_partkey % 3 < 2 THEN p_type END AS taxon, CASE WHEN p_partkey % 3 = 1 THEN 'x' END AS aux FROM part",
-    "tophit_per_gene_hmm": f"WITH {_HITS} SELECT * FROM (SELECT gene_id, hmm_id, e_val, bit_score, row_number() OVER (PARTITION BY gene_id, hmm_id ORDER BY bit_score DESC, e_val) AS rn FROM h) WHERE rn = 1".replace("SELECT * FROM (SELECT gene_id", "SELECT gene_id, hmm_id, e_val, bit_score FROM (SELECT gene_id"),
+    "tophit_per_gene_hmm": f"WITH {_HITS} SELECT gene_id, hmm_id, e_val, bit_score FROM (SELECT *, row_number() OVER (PARTITION BY gene_id, hmm_id ORDER BY bit_score DESC, e_val) AS rn FROM h) WHERE rn = 1",
     "tophit_per_gene": f"WITH {_HITS} SELECT gene_id, hmm_id, e_val, bit_score FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY bit_score DESC, e_val, hmm_id) AS rn FROM h) WHERE rn = 1",
     "copy_number_status": f"WITH {_STATUS} SELECT * FROM st",
     "copy_number_table": f"WITH {_STATUS} SELECT genome_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}, coalesce(string_agg(CAST(marker_id AS VARCHAR), ',' ORDER BY marker_id) FILTER (status = '{s}'), '') AS list_{s}" for s in ("unq", "mul", "muq", "mis")) + " FROM st GROUP BY genome_id",
@@ -317,10 +321,10 @@ x AS (SELECT col - 1 AS col, upper(substr(seq, col, 1)) AS aa FROM (SELECT seq,
 c AS (SELECT col, aa, count(*) AS n FROM x GROUP BY ALL),
 p AS (SELECT col, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (aa IN ('-', '.', '_', '*')), 0) AS BIGINT) AS n_gaps, coalesce(max(n) FILTER (aa NOT IN ('-', '.', '_', '*')), 0) AS n_top FROM c GROUP BY col)
 SELECT CAST(col AS INTEGER) AS col, n_rows, n_gaps, n_top, n_gaps <= 0.5 * n_rows AND n_rows > n_gaps AND n_top / (n_rows - n_gaps) >= 0.05::DOUBLE AND n_top / (n_rows - n_gaps) < 0.95::DOUBLE AS kept FROM p""",
-    "residue_percent": f"WITH {_MSA} SELECT id, length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) * 100.0::DOUBLE / length(seq) AS percent FROM m",
+    "residue_percent": "SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) * 100.0::DOUBLE / nullif(length(text), 0) AS percent FROM documents",
     "marker_offsets": f'WITH {_MARK} SELECT marker_id, length, "end" - length AS start, "end" FROM off',
     "column_owner": f'WITH {_MARK} SELECT o_orderkey AS col, marker_id FROM orders JOIN off ON o_orderkey >= "end" - length AND o_orderkey < "end"',
-    "concatenate_markers": f"WITH {_MARK} SELECT s_suppkey AS id, string_agg(repeat(CASE WHEN (s_suppkey + marker_id) % 3 <> 0 THEN chr(CAST(65 + marker_id AS INTEGER)) ELSE '-' END, CAST(length AS INTEGER)), '' ORDER BY marker_id) AS seq FROM supplier, k WHERE marker_id < 6 GROUP BY s_suppkey",
+    "concatenate_markers": "WITH k AS (SELECT p_partkey % 12 AS marker_id, max(p_size) % 10 + count(*) % 7 + 1 AS length FROM part GROUP BY ALL) SELECT s_suppkey AS id, string_agg(repeat(CASE WHEN (s_suppkey + marker_id) % 3 <> 0 THEN chr(CAST(65 + marker_id AS INTEGER)) ELSE '-' END, CAST(length AS INTEGER)), '' ORDER BY marker_id) AS seq FROM supplier, k GROUP BY s_suppkey",
     "ani_closest": f"WITH {_ANI}, f AS (SELECT * FROM h WHERE af >= 0.6::DOUBLE), b AS (SELECT * FROM {_BEST.format('f')}) SELECT e.vec_id AS query, b.ref, b.ani, b.af, b.ani >= radius AS within FROM e LEFT JOIN b ON b.query = e.vec_id LEFT JOIN rad ON rad.ref = b.ref WHERE e.vec_id % 10 <> 0",
     "ani_topk_screen": f"WITH {_ANI}, f AS (SELECT h.* FROM h JOIN rad USING (ref) WHERE ani >= radius AND af >= 0.55::DOUBLE) SELECT query, ref, ani, af FROM {_BEST.format('f')}",
     "ani_topk_confirm": f"WITH {_ANI}, f AS (SELECT * FROM h WHERE af >= 0.55::DOUBLE) SELECT query, ref, ani, af FROM {_BEST.format('f')} JOIN rad USING (ref) WHERE ani >= radius",
@@ -345,7 +349,7 @@ q AS (SELECT l_returnflag, round(quantile_cont(l_discount, 0.1), 6) AS p10, roun
     "sliding_events": "SELECT s AS start, s + INTERVAL 2 HOUR AS \"end\", event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY ALL",
     "session_events": """WITH a AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true) AS new FROM events),
 b AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM b GROUP BY user_id, s""",
-    "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "stream_dedup": "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL",
     "translation_table": "SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 4 WHEN (o_orderkey % 101) / 101.0::DOUBLE - (o_orderkey % 89) / 89.0::DOUBLE > 0.05 AND (o_orderkey % 101) / 101.0::DOUBLE > 0.7 THEN 4 ELSE 11 END AS \"table\" FROM orders",
     "name_checks": r"""WITH p AS (SELECT p_partkey AS k, p_partkey % 9 <> 0 AS pre, list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))) AS w, p_name FROM part),
 n AS (SELECT k, pre, (CASE WHEN k % 5 = 0 THEN lower(p_name) ELSE array_to_string(w, ' ') END) || (CASE WHEN k % 7 = 0 THEN ' cluster 2' WHEN k % 11 = 0 THEN ' sp. X' ELSE '' END) AS bare FROM p)

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 DELAY = "10 minutes"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a session in one process (tests) gets a local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
+
+
 def stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
     """A stream of the Parquet files of a folder, a bounded number of files each time."""
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(folder)
@@ -43,7 +51,7 @@ def first_events(events: DataFrame, *keys: str) -> DataFrame:
     spark = events.sparkSession
     first = F.min_by("e", F.struct("e.ts", "e.event_id")).alias("e")
     changed = events.select(F.struct(*events.columns).alias("e")).groupBy(*[F.col(f"e.{k}").alias(k) for k in keys]).agg(first)
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], changed.schema).write.parquet(f"{folder}/rows/batch=-1")
 
     def write(batch: DataFrame, k: int) -> None:
@@ -52,10 +60,3 @@ def first_events(events: DataFrame, *keys: str) -> DataFrame:
     query = changed.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.schema(changed.schema).parquet(f"{folder}/rows").groupBy(*keys).agg(first).select("e.*")
-
-
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into an in-memory table; for tests and small reports."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
