@@ -162,3 +162,59 @@ def translation_table(density4: Column, density11: Column, user: Column | None =
 
 def itol_label(taxon: Column) -> Column:
     return F.replace(taxon, F.lit(";"), F.lit("|"))
+
+
+def taxa_at_ranks(text: Column) -> Column:
+    """Rank prefix to taxon, for the ranks that a lineage has."""
+    taxa = split_lineage(text)
+    return F.map_from_arrays(F.slice(prefixes(), 1, F.least(F.size(taxa), F.lit(7))), F.slice(taxa, 1, 7))
+
+
+def valid_species(taxon: Column) -> Column:
+    """The generic and specific name of a species, null where :func:`bad_species` refuses it or a word is missing."""
+    bare = F.regexp_replace(taxon, "^s__", "")
+    words = F.split(F.regexp_replace(bare, r"^Candidatus ", ""), " ")
+    pair = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    return F.when(bad_species(taxon).isNull() & (F.size(words) > 1), F.concat(F.lit("s__"), pair))
+
+
+def species_with_genus(taxa: Column) -> Column:
+    """A lineage whose species starts with its genus."""
+    genus, species = F.substring_index(F.get(taxa, F.lit(5)), "__", -1), F.substring_index(F.get(taxa, F.lit(6)), "__", -1)
+    full = F.when((species == "") | species.startswith(genus), F.get(taxa, F.lit(6))).otherwise(F.concat(F.lit("s__"), genus, F.lit(" "), species))
+    return F.transform(taxa, lambda t, i: F.when(i == 6, full).otherwise(t))
+
+
+def rank_medians(named: Column) -> Column:
+    """Medians by rank prefix from a map by rank name (Phylum, class, ...); names that are no rank go."""
+    prefix = lambda k: F.concat(F.lower(F.substring(k, 1, 1)), F.lit("__"))
+    known = F.map_filter(named, lambda k, v: F.lower(k).isin("domain", "phylum", "class", "order", "family", "genus", "species"))
+    return F.transform_keys(known, lambda k, v: prefix(k))
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded by the exact value of its binary fraction, ties to even: what Python's ``round`` gives.
+
+    Which side of a tie a double lies on is read from its product with twice the power of ten, taken exactly as a
+    rounded product and its error (Dekker 1971).
+    """
+    scale = 2.0 * 10**digits
+    high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    low = scale - high
+    v = F.abs(value)
+    top = v * 134217729.0 - (v * 134217729.0 - v)
+    rest, product = v - top, v * scale
+    error = ((top * high - product) + top * low + rest * high) + rest * low
+    k = F.floor(product / 2).cast("double")
+    side = (product - (2 * k + 1)) + error
+    up = (side > 0) | ((side == 0) & (k % 2 == 1))
+    return F.signum(value) * (F.when(up, k + 1).otherwise(k) / F.lit(10.0**digits))
+
+
+def bad_path(path: Column) -> Column:
+    """Why a path is refused, or null."""
+    return F.when(path.isNull() | (path == ""), "blank path").when(path.contains(" "), "space in path")
+
+
+def is_user_genome(gid: Column) -> Column:
+    return gid.startswith("U_")

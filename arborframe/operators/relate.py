@@ -65,3 +65,34 @@ def reasons(*tests: tuple[Column, str]) -> Column:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def lost(asked: DataFrame, placed: DataFrame, key: str, **noted) -> DataFrame:
+    """Keys that went into a step and did not come out, with what is noted of the step."""
+    gone = asked.select(key).distinct().join(placed.select(key), key, "left_anti")
+    return gone.select(key, *(F.lit(v).alias(c) for c, v in noted.items()))
+
+
+def batches(routed: DataFrame) -> DataFrame:
+    """Subtrees with the number of their queries, the largest first."""
+    return routed.where("tree_id IS NOT NULL").groupBy("tree_id").agg(F.count("*").alias("n_queries")).orderBy(F.desc("n_queries"), "tree_id")
+
+
+def taxa_of_classes(taxonomy: DataFrame, classes: list[str], rank: int) -> DataFrame:
+    """Distinct taxa at a rank in lineages whose class is one of ``classes``."""
+    return taxonomy.where(F.get("taxa", F.lit(2)).isin(*classes)).select(F.get("taxa", F.lit(rank)).alias("taxon")).distinct()
+
+
+def first_in(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """The first value of each key in an order, such as that of paths or depths."""
+    return rows.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def top(rows: DataFrame, n: int, *order: Column, skip: int = 0) -> DataFrame:
+    """``n`` rows in an order, after ``skip``."""
+    return rows.orderBy(*order).offset(skip).limit(n)
+
+
+def genomes_of(genes: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits with the sequence of their gene; a hit without one fails."""
+    return must_match(hits, genes.select("genome_id", "gene_id", "seq"), ["genome_id", "gene_id"], "seq")

@@ -63,7 +63,7 @@ def parse(text: str) -> list[tuple[int, int | None, int, float | None, str | Non
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """Node table of tree files: ids by file, parents, edges, and labels taken apart into support, taxon and aux."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.input_file_name(), "^.*/", "").alias("tree_id"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^.*/", "").alias("tree_id"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -67,3 +67,38 @@ def same_digests(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Files whose digest is not the expected one, or that stand on one side only; empty if all is well."""
     joined = found.select("path", F.col("sha1").alias("found")).join(expected.select("path", F.col("sha1").alias("expected")), "path", "full_outer")
     return joined.where(~F.col("found").eqNullSafe(F.col("expected")))
+
+
+def write_alignment(msa: DataFrame, taxonomy: DataFrame, path: str, compression: str | None = None) -> None:
+    """Aligned sequences (id, seq) as FASTA in the order of their ids, each on one line, its lineage behind the id."""
+    named = msa.join(taxonomy.select(F.col("genome_id").alias("id"), F.array_join("taxa", ";").alias("lineage")), "id", "left").orderBy("id")
+    out = named.select(F.concat(F.lit(">"), F.concat_ws(" ", "id", "lineage"), F.lit("\n"), F.col("seq")).alias("value")).write
+    (out.option("compression", compression) if compression else out).text(path)
+
+
+def write_by_marker(rows: DataFrame, path: str) -> None:
+    """FASTA of every marker (marker_id, id, seq) in a folder of its own; markers without rows have none."""
+    text = rows.select("marker_id", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), F.col("seq")).alias("value"))
+    text.repartition("marker_id").sortWithinPartitions("marker_id", "value").write.partitionBy("marker_id").text(path)
+
+
+def sub_alignment(msa: DataFrame, routed: DataFrame, tree_id) -> DataFrame:
+    """The rows of an alignment that go to one subtree (query, tree_id)."""
+    return msa.join(routed.where(F.col("tree_id") == tree_id).select(F.col("query").alias("id")), "id", "left_semi")
+
+
+def gene_files(spark: SparkSession, folder: str, suffix: str) -> tuple[DataFrame, DataFrame]:
+    """(genome_id, path) of the gene files of a folder and its subfolders that hold anything, and genomes whose file is
+    empty. Empty files are not scanned by Spark, so they are taken from the listing."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{{*,*/*}}{suffix}")
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where) or []
+    empty = [(s.getPath().getName().removesuffix(suffix),) for s in listed if s.isFile() and s.getLen() == 0]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(folder).where("length > 0")
+    named = files.select(F.regexp_replace(F.regexp_replace("path", "^.*/", ""), rf"\Q{suffix}\E$", "").alias("genome_id"), "path")
+    return named, spark.createDataFrame(empty, "genome_id string")
+
+
+def digest_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``name: md5`` of every file of a folder, in the order of names."""
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^.*/", "").alias("name"), F.md5("content").alias("md5"))
+    return files.orderBy("name").select(F.concat_ws(": ", "name", "md5").alias("value"))
