@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash128, sized, stored, table, text_key
+from .common import checkpointed, hash128, quoted, sized, stored, table, text_key
 
 EDITS = 2
 #: Characters from which lines are compared for edits; shorter ones only match exactly.
 LEAST_NEAR = 24
-#: Letters whose counts tell lines apart that share a segment.
+#: Distinct lines that may share a segment before its pairs must share a segment of what is left of them, too.
+HOT_LINES = 32
+#: Letters whose counts tell lines apart that share such a segment.
 LETTERS = "etaonirshdlu"
 
 
@@ -27,12 +29,13 @@ def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
     return base * (i - 1) + F.greatest(F.lit(0), i - 1 - parts + extra) + 1, base + F.when(i > parts - extra, 1).otherwise(0)
 
 
-def _keyed(lines: DataFrame, edits: int, name: str, probe: bool) -> DataFrame:
+def _keyed(lines: DataFrame, edits: int, name: str, probe: bool, whole: bool = False) -> DataFrame:
     """(hash as ``name``, key) of every segment of every line, or of every substring that can equal a segment of a line
     at most ``edits`` shorter (multi-match-aware).
 
     Each row takes one choice of length, segment and shift from a literal table, which keeps the generated code small
-    enough to be compiled. The profile's top bits note how much shorter the other line is.
+    enough to be compiled. ``lines`` has h1, line and size; where it has a key ``under``, that is a part of the new one,
+    and its ``profile`` comes along. With ``whole``, so does what a line has besides the segment, as ``rest``.
     """
     chosen = []
     for shorter in range(edits + 1 if probe else 1):
@@ -40,16 +43,48 @@ def _keyed(lines: DataFrame, edits: int, name: str, probe: bool) -> DataFrame:
             left, right = i - 1, edits + 1 - i
             shifts = range(max(-left, shorter - right), min(left, shorter + right) + 1) if probe else (0,)
             chosen += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in shifts]
-    each = lines.select(F.col("h1").alias(name), "profile", "line", "size", F.explode(F.array(*chosen)).alias("c"))
-    noted = F.col("profile").bitwiseOR(F.shiftleft(F.col("c.shorter").cast("long"), 60)).alias(f"profile_{name}")
-    each = each.select(name, noted, "line", "size", (F.col("size") - F.col("c.shorter")).alias("n"), F.col("c.i").alias("i"), F.col("c.shift").alias("shift"))
+    under, seen = ([c for c in (column,) if c in lines.columns] for column in ("under", "profile"))
+    each = lines.select(F.col("h1").alias(name), "line", "size", *under, *seen, F.explode(F.array(*chosen)).alias("c"))
+    each = each.select(name, "line", "size", *under, *seen, (F.col("size") - F.col("c.shorter")).alias("n"), F.col("c.i").alias("i"), F.col("c.shift").alias("shift"))
     start, long = _segment(F.col("n"), F.col("i"), edits)
-    placed = each.select(name, f"profile_{name}", "line", "size", "n", "i", (start + F.col("shift")).alias("start"), long.alias("long"))
+    placed = each.select(name, "line", "size", *under, *seen, "n", "i", (start + F.col("shift")).alias("start"), long.alias("long"))
+    rest = F.concat(F.col("line").substr(F.lit(1), F.col("start") - 1), F.col("line").substr(F.col("start") + F.col("long"), F.col("size")))
     return placed.where("start >= 1 AND start + long - 1 <= size").select(
-        name, f"profile_{name}", F.xxhash64("n", "i", F.col("line").substr(F.col("start"), F.col("long"))).alias("key")
+        name, F.xxhash64(*under, "n", "i", F.col("line").substr(F.col("start"), F.col("long"))).alias("key"), *[rest.alias("rest")] * whole, *(F.col(c).alias(f"{c}_{name}") for c in seen)
     )
 
 
+def _met(lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs of hashes of lines that share a key, each once.
+
+    A segment that more than ``HOT_LINES`` lines share would make a candidate of any two of them. If they are within
+    the edits around it, so is what is left of them without it, which therefore shares a segment again: such lines meet
+    by keys of both, and so on while those are hot, so that boilerplate makes no pairs by itself. Of remainders of a
+    few letters all meet. Where lines are many, those whose letter counts differ by more than the edits explain are no pair.
+    """
+    probes, index, pairs = lines, lines, None
+    while True:
+        keyed = _keyed(index, edits, "b", False)
+        cut = index.where(F.col("size") >= 2 * (edits + 1))
+        hot = stored(_keyed(cut, edits, "b", False).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LINES).select("key"))
+        last = hot.isEmpty()
+        met = _keyed(probes, edits, "a", True).join(keyed if last else keyed.join(hot, "key", "left_anti"), "key").where("a <> b")
+        if "profile" in probes.columns:
+            met = met.where(_profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = met if pairs is None else pairs.unionAll(met)
+        if last:
+            return pairs.distinct()
+        probes, index = (_rests(side, hot, edits, probe) for side, probe in ((probes, True), (index, False)))
+
+
+def _rests(lines: DataFrame, hot: DataFrame, edits: int, probe: bool) -> DataFrame:
+    """What lines have besides a hot segment, under its key, with their letter counts; lines to be keyed again."""
+    shared = _keyed(lines, edits, "h1", probe, True).join(hot, "key", "left_semi")
+    counts = F.col("profile_h1") if "profile" in lines.columns else profile(F.col("rest"))
+    return stored(shared.select("h1", F.col("key").alias("under"), F.col("rest").alias("line"), F.length("rest").alias("size"), counts.alias("profile")))
+
+
 def profile(line: Column) -> Column:
     """Counts of frequent letters modulo 32, five bits each."""
     size = F.octet_length(line)
@@ -182,17 +217,12 @@ def edit_join(lines: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) ->
     """Pairs of distinct lines within ``edits`` edits: the hashes and first places of both, and the distance.
 
     ``lines`` has h1, h2, line, size and first. Keys carry one hash of the line, and a line that meets another by a
-    collision is verified like any candidate. Texts are fetched for candidates only. A segment that very many lines
-    share makes that many candidates; AQE splits its join.
+    collision is verified like any candidate. Texts are fetched for candidates only.
     """
     if least <= 2 * (edits + 1) or edits > 7:
-        raise ValueError("lines this short have segments of a letter, or the edits are more than a profile notes")
-    long = stored(lines.where(F.col("size") >= least).withColumn("profile", profile(F.col("line"))))
-    met = _keyed(long, edits, "a", True).join(_keyed(long, edits, "b", False), "key")
-    # lines of one length probe each other: one direction is enough
-    once = (F.shiftright("profile_a", 60) > 0) | (F.col("a") > F.col("b"))
-    met = met.where(once & (F.col("a") != F.col("b")) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
-    pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        raise ValueError("lines this short have segments of a letter, or the band is wider than a byte")
+    long = stored(lines.where(F.col("size") >= least))
+    pairs = checkpointed(_met(long, edits))
     needed = sized(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
     texts = checkpointed(long.join(needed, "h1", "left_semi").dropDuplicates(["h1", "h2"]))
     side = lambda h: texts.select(F.col("h1").alias(h), F.struct("h1", "h2", "first", "line").alias(f"of_{h}"))
@@ -229,40 +259,41 @@ def verdicts(docs: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) -> Da
     )
 
 
-def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.struct(*(c for c in found.columns if c not in ("doc_id", "th"))).alias("__found"))
-    return docs.withColumn("__key", text_key(F.col("text"))).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-
-
 def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) -> DataFrame:
     """``docs`` (doc_id, text and any others) with the removed lines gone from ``text``; every row stays.
 
-    Blank lines stay. A null text stays null; a text of which all lines go is empty. An empty table stays empty.
+    Blank lines stay. A null text stays null; a text of which all lines go is empty. An empty table stays empty. Texts
+    and lines of any length are read whole, and repeated rows lose the same lines. Other columns may have any name.
     """
-    gone = F.coalesce("__found.removed", F.array().cast("array<int>"))
+    found = verdicts(docs.select("doc_id", "text"), edits, least).select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "removed")
+    held = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), text_key(F.col("text")).alias("th"))
+    joined = held.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left")
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
     split = F.struct(F.split("text", "\n").alias("lines"), gone.alias("gone"))
     stays = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
     kept = _let(split, lambda x: F.array_join(F.transform(stays(x), lambda i: F.get(x["lines"], i)), "\n"))
     text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))
-    out = _joined(docs, verdicts(docs, edits, least))
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return joined.select(*((text if c == "text" else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)))
 
 
 def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) -> DataFrame:
-    """A row per document: lines that are not blank, repeats, near repeats, links of its lines, positions removed."""
-    texts = docs.select("doc_id", "text")
-    zero = lambda c: F.coalesce(f"__found.{c}", F.lit(0)).cast("long").alias(c)
+    """A row per document: lines that are not blank, repeats, near repeats, links of its lines, positions removed.
+
+    Null and empty texts have no lines; repeated rows have a row each; an empty table gives no rows.
+    """
+    zero = lambda c: F.coalesce(f"found.{c}", F.lit(0)).cast("long").alias(c)
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("long")
-    counted = texts.select("doc_id", text_key(F.col("text")).alias("__key"), n.alias("n_lines"))
-    found = verdicts(docs, edits, least)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.struct("n_repeated", "n_near", "n_links", "removed").alias("__found"))
-    return counted.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left").select(
+    counted = docs.select("doc_id", text_key(F.col("text")).alias("key"), n.alias("n_lines"))
+    found = verdicts(docs.select("doc_id", "text"), edits, least)
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.struct("n_repeated", "n_near", "n_links", "removed").alias("found"))
+    return counted.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_th")), "left").select(
         "doc_id", "n_lines", zero("n_repeated"), zero("n_near"), zero("n_links"),
-        F.coalesce("__found.removed", F.array().cast("array<int>")).alias("removed"),
+        F.coalesce("found.removed", F.array().cast("array<int>")).alias("removed"),
     )
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line deduplication finds in every document; null and empty texts have no lines, an empty table no rows."""
     return report(table(spark, sf_dir, "documents"))
 
 
