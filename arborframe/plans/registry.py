@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchy, tables
+from . import derived, hierarchy, tables
 
-MODULES = (hierarchy, tables)
+MODULES = (hierarchy, tables, derived)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
 
