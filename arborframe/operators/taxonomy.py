@@ -117,3 +117,11 @@ def in_rank_order(taxa: DataFrame, column: str = "taxon") -> DataFrame:
     """Taxa by rank, then by name."""
     rank = F.array_position(F.array(*map(F.lit, RANKS)), F.substring(column, 1, 3))
     return taxa.orderBy(rank, column)
+
+
+def domain_of(taxonomy: DataFrame, taxon: str) -> str:
+    """The domain of a taxon; one that no lineage has raises."""
+    row = taxonomy.where(F.array_contains("taxa", taxon)).agg(F.min(F.get("taxa", F.lit(0)))).first()
+    if row[0] is None:
+        raise ValueError(f"{taxon} is in no lineage")
+    return row[0]
