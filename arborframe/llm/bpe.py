@@ -45,6 +45,7 @@ class PairTable:
                     values.append(rank)
         self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 2))))
         size = 1 << self.bits
+        self.one = dict(zip(keys, values, strict=True))
         self.keys = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.values = np.full(size, NO_RANK, dtype=np.int32)
         todo_k, todo_v = np.array(keys, dtype=np.uint64), np.array(values, dtype=np.int32)
@@ -80,11 +81,10 @@ class PairTable:
 class Codec:
     """Encoder and decoder of one rank file, alike to ``encode_ordinary`` and ``decode_bytes`` of a tiktoken encoding."""
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str):
         import regex
 
-        with open(rank_file, "rb") as lines:
-            self.by_bytes = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.by_bytes = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
         self.split = regex.compile(pattern).findall
         self.pairs = PairTable(self.by_bytes)
         self.byte_ids = np.array([self.by_bytes[bytes([i])] for i in range(256)], dtype=np.int32)
@@ -151,8 +151,8 @@ class Codec:
             rank.pop(i, None)
             j = after[i]
             if j < n:
-                r = int(self.pairs.ranks(np.array([tok[i]]), np.array([tok[j]]))[0])
-                if r != NO_RANK:
+                r = self.pairs.one.get(tok[i] << 32 | tok[j])
+                if r is not None:
                     rank[i] = r
                     heapq.heappush(heap, (r, i))
 
@@ -219,20 +219,31 @@ class Codec:
         return b"".join(map(self.by_id.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=2)
-def codec(rank_file: str, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
+@lru_cache(maxsize=1)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    """Built once in a worker for the content of a rank file."""
+    return Codec(ranks, pattern)
+
+
+def _shipped(df: DataFrame, rank_file: str):
+    """The rank file (1 MB or so), read on the driver and broadcast: executors need not have it."""
+    with open(rank_file, "rb") as ranks:
+        return df.sparkSession.sparkContext.broadcast(ranks.read())
 
 
 def bpe(df: DataFrame, rank_file: str, pattern: str, text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Append what ``outputs`` names (see ``OUTPUTS``) for every text to the columns ``keep`` (all by default).
 
+    Repeated rows are encoded alike and stay; an empty table stays empty.
+
     ``decoded`` comes from decoding the ids again. Rows are independent: no shuffle, one pass, bounded memory
     (a batch of texts and a cache of pieces). A null text counts as empty: no tokens, empty bytes. Texts of any
     length are encoded whole. A column of ``df`` that has the name of an output is replaced.
     """
+    shared = _shipped(df, rank_file)
+
     def encoder():
-        own = codec(rank_file, pattern)
+        own = codec(shared.value, pattern)
 
         def run(texts: list[str]) -> dict:
             all_ids = own.encode_batch(texts)
@@ -255,15 +266,21 @@ def bpe(df: DataFrame, rank_file: str, pattern: str, text: str = "text", outputs
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the bytes of a column of ids; null ids give empty bytes, an unknown id fails the task."""
 
+    shared = _shipped(df, rank_file)
+
     @F.pandas_udf("binary")
     def to_bytes(column: pd.Series) -> pd.Series:
-        own = codec(rank_file, pattern)
+        own = codec(shared.value, pattern)
         return column.map(lambda x: b"" if x is None else own.decode(np.asarray(x)))
 
     return df.withColumn(out, to_bytes(F.col(ids)))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every text, and the digest of what they decode to; a null text is empty.
+
+    An empty table gives no rows, repeated rows have a row each.
+    """
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")

@@ -49,6 +49,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Rows and characters of texts that a function sees at once, so that a batch of long texts takes bounded memory.
 SLICE_ROWS = 256
 SLICE_CHARS = 1 << 21

@@ -161,6 +161,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and found items of every document; null texts have no words, an empty table gives no rows."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
     ids = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(

@@ -22,6 +22,8 @@ from .sample import labelled, remainder
 
 #: Largest sample that a model is fitted on: rows of class 0 and of class 1.
 MAX_ROWS = (2500, 3500)
+#: Lines of a text of the sample that the fit reads at most; scores always read all.
+MAX_LINES = 500
 BINS = 10
 PENALTY = 1e-4
 FEATURES = ("length", "upper", "symbols", "digits", "word_length", "distinct", "stutter", "odd_symbols", "repeated", "closed", "longest_word")
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[i
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [features(t or "")[0].tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"y": pdf["y"], "x": [features(t or "")[0][:MAX_LINES].tobytes() for t in pdf["text"]]})
 
     rows = [(r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, f)) for r in texts.mapInPandas(extract, "y int, x binary").toLocalIterator()]
     rows = [(y, x) for y, x in rows if len(x)]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, sized, table, text_key, with_text_outputs
+from .common import checkpointed, connected_components, quoted, sized, table, text_key, with_text_outputs
 
 SHINGLE = 4
 RADIUS = 4
@@ -259,12 +259,12 @@ def representatives(docs: DataFrame, radius: int = RADIUS, n: int = SHINGLE) ->
     found = checkpointed(_placed(docs.select("doc_id", key.alias("th"), "text"), ("doc_id", "th"), radius, n))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     stays = found.groupBy("component").agg(F.min(rank).alias("first")).select("component", "first")
-    gone = found.join(stays, "component").where(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumn("__key", key)
-    kept = keyed.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_anti")
+    gone = found.join(stays, "component").where(~rank.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th")).distinct()
+    held = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").alias("doc_id"), key.alias("th"))
+    kept = held.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left_anti")
     if not found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["doc_id", "th"])
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def hex16(fp: Column) -> Column:
@@ -272,6 +272,10 @@ def hex16(fp: Column) -> Column:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and wordless texts have fingerprint 0 and link like any other.
+
+    An empty table gives no rows, repeated rows have a row each.
+    """
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 

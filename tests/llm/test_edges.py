@@ -38,7 +38,7 @@ def scanned(d):
 
 OPERATORS = {
     "toxicity": lambda d: toxicity.classify(d, score_model()), "quality": lambda d: quality.classify(d, line_model(), lines=True), "lines": lines.deduplicate,
-    "line report": lines.report, "simhash": simhash.near_duplicates, "spans": spans.deduplicate, "pii": pii.replace, "bpe": encoded, "decontaminate": scanned,
+    "line report": lines.report, "simhash": simhash.near_duplicates, "spans": spans.deduplicate, "pii": lambda d: pii.replace(d, b"a key"), "bpe": encoded, "decontaminate": scanned,
 }
 
 
@@ -82,9 +82,45 @@ def test_representatives_keep_one_of_a_group(spark):
 
 def test_pages(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, "http://c", None), (4, "u", ""), (None, "u", "<p>x</p>"), (5, "http://d/é \n", "漢" * 200000)]
+    rows += [(7, "http://e", "<p>y</p>")] * 3 + [(6, "http://e", "<p>y</p>"), (None, "u", "<p>z</p>"), (None, "u", "<p>z</p>")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, frame int")
     out = warc.read(warc.archive(pages)).collect()
-    assert len(out) == len(rows)
-    assert sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"]) for r in out if r["page_id"] != 2) == [(0, "revisit", 2), (1, "revisit", 2), (3, "revisit", 4), (4, "response", None), (5, "response", None)]
+    said = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"] or 0) for r in out)
+    assert said == sorted([
+        (0, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (2, "revisit", 2), (3, "revisit", 4), (4, "response", 0), (5, "response", 0),
+        (7, "response", 0), (7, "revisit", 7), (7, "revisit", 7), (6, "revisit", 7), (0, "response", 0), (0, "response", 0),
+    ])
+    assert next(r["url"] for r in out if r["page_id"] == 2 and r["record_type"] == "response") == "http://b"
     assert next(r["payload"] for r in out if r["page_id"] == 5).decode() == "漢" * 200000
     assert warc.read(warc.archive(pages.limit(0))).count() == 0
+
+
+def test_bundles_by_their_seek_table(spark, tmp_path):
+    import io
+    import re
+
+    import zstandard
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * (i % 7 * 50)) for i in range(400)], "page_id long, url string, html string")
+    index = warc.write(warc.planned(pages).coalesce(1), f"file://{tmp_path}", frame_bytes=4096, bundle_bytes=1 << 15).collect()
+    bundles = sorted(tmp_path.glob("*.zst"))
+    assert len(bundles) > 1
+    for path in bundles:
+        data = path.read_bytes()
+        frames = warc.read_seek_table(data)
+        own = [r for r in index if r["path"].endswith(path.name)]
+        assert len(frames) == 1 + max(r["frame"] for r in own)
+        # a standard decoder reads the whole bundle as one file, and every frame by itself
+        whole, at, raw = b"", 0, io.BytesIO(data)
+        for packed, size in frames:
+            part = zstandard.ZstdDecompressor().decompress(data[at : at + packed])
+            assert len(part) == size
+            whole, at = whole + part, at + packed
+        with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as reader:
+            assert reader.read() == whole
+        assert len(re.findall(rb"^WARC/1.1\r$", whole, re.M)) == len(own)
+        for r in own:
+            found = warc.parse(zstandard.ZstdDecompressor().decompress(data[r["frame_offset"] : r["frame_offset"] + r["frame_bytes"]])[r["record_offset"] :][: r["record_bytes"]])
+            assert int(found["headers"]["warc-page"]) == r["page_id"]
+    with pytest.raises(ValueError):
+        warc.read_seek_table(bundles[0].read_bytes()[:-1])
