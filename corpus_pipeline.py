@@ -12,15 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborframe.llm import bpe, decontaminate, lines, simhash, toxicity
-from arborframe.llm.common import shared_dir, table
+from arborframe.llm.common import drop, quoted, shared_dir, table
 from arborframe.llm.sample import remainder
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with its columns under their numbers, so that no name clashes with a stage's outputs, and that of ``text``."""
+    return docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns))), f"c{docs.columns.index('text')}"
+
+
+def _named(held: DataFrame, docs: DataFrame) -> DataFrame:
+    return held.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the learning rows of ``labels``, does not call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", remainder(F.col("doc_id"), 5) != 0)
-    scored = toxicity.classify(docs, model)
-    return scored.where("predicted = 0").select(*docs.columns)
+    held, text = _numbered(docs)
+    return _named(toxicity.classify(held, model, text).where("predicted = 0"), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +45,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    held, text = _numbered(docs)
+    return _named(decontaminate.decontaminate(held, table(spark, sf_dir, "benchmark"), text).where("n_hit = 0"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # the stage before has been read
+            drop(spark, f"{folder}/{k - 1}")
     return docs
