@@ -72,9 +72,11 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
         if "profile" in probes.columns:
             met = met.where(_profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = met if pairs is None else pairs.unionAll(met)
         if last:
-            return pairs.distinct()
+            return (met if pairs is None else pairs.unionAll(met)).distinct()
+        # written out, so that the plan does not grow with the levels
+        met = stored(met.distinct())
+        pairs = met if pairs is None else pairs.unionAll(met)
         probes, index = (_rests(side, hot, edits, probe) for side, probe in ((probes, True), (index, False)))
 
 
