@@ -22,8 +22,9 @@ from .sample import labelled, remainder
 
 #: Largest sample that a model is fitted on: rows of class 0 and of class 1.
 MAX_ROWS = (2500, 3500)
-#: Lines of a text of the sample that the fit reads at most; scores always read all.
-MAX_LINES = 500
+#: The fit reads whole texts, as chains of so many lines at most, and of those chains at most so many, chosen by a hash.
+CHAIN_LINES = 200
+MAX_CHAINS = 12_000
 BINS = 10
 PENALTY = 1e-4
 FEATURES = ("length", "upper", "symbols", "digits", "word_length", "distinct", "stutter", "odd_symbols", "repeated", "closed", "longest_word")
@@ -165,28 +166,32 @@ def _cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[int, int] = MAX_ROWS, penalty: float = PENALTY) -> Model:
-    """Fit on at most ``max_rows`` rows of the classes, of those that ``learn`` admits.
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[int, int] = MAX_ROWS, penalty: float = PENALTY, max_chains: int = MAX_CHAINS) -> Model:
+    """Fit on at most ``max_rows`` documents of the classes, of those that ``learn`` admits, and ``max_chains`` chains.
 
     Only documents have labels, so those of lines are latent: first every line has its document's and is judged by
     itself, then lines that look otherwise take the other label, as long as most of a document's length keeps its own,
     and the chain is fitted to those sequences, twice. The weights maximise the penalised conditional likelihood of the
-    label sequences. Only line features reach the driver. Without rows of both classes every text scores the share of
-    class 1, or 0.5.
+    label sequences. Only line features reach the driver. Where the documents do not have labels of both classes, or not
+    both have lines, every text scores the share of class 1, or 0.5.
     """
     texts, (n0, n1) = labelled(docs, labels, label, learn, max_rows)
     f, k = len(FEATURES), len(NEIGHBOURS)
     prior = n1 / (n0 + n1) if n0 + n1 else 0.5
+    odds = float(np.log(np.clip(prior, 1e-6, 1 - 1e-6) / np.clip(1 - prior, 1e-6, 1)))
+    flat = Model(np.zeros((f, BINS - 1)), np.zeros((k, f, BINS)), odds, np.zeros((2, 2)), prior)
     if not n0 or not n1:
-        odds = float(np.log(np.clip(prior, 1e-6, 1 - 1e-6) / np.clip(1 - prior, 1e-6, 1)))
-        return Model(np.zeros((f, BINS - 1)), np.zeros((k, f, BINS)), odds, np.zeros((2, 2)), prior)
+        return flat
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [features(t or "")[0][:MAX_LINES].tobytes() for t in pdf["text"]]})
+            found = [(y, x[at : at + CHAIN_LINES].tobytes()) for y, t in zip(pdf["y"], pdf["text"], strict=True) for x in [features(t or "")[0]] for at in range(0, len(x), CHAIN_LINES)]
+            yield pd.DataFrame(found, columns=["y", "x"])
 
-    rows = [(r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, f)) for r in texts.mapInPandas(extract, "y int, x binary").toLocalIterator()]
-    rows = [(y, x) for y, x in rows if len(x)]
+    chains = texts.mapInPandas(extract, "y int, x binary").orderBy(F.xxhash64("x"), "x", "y").limit(max_chains)
+    rows = [(r["y"], np.frombuffer(r["x"], np.float32).reshape(-1, f)) for r in chains.toLocalIterator()]
+    if len({y for y, _ in rows}) < 2:
+        return flat
     rows.sort(key=lambda r: (len(r[1]), r[0], r[1].tobytes()))
     every = np.concatenate([x for _, x in rows])
     edges = np.quantile(every, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T

@@ -66,10 +66,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[int, int] = MAX_ROWS, penalty: float = PENALTY) -> Model:
-    """Fit on at most ``max_rows`` rows of the classes, of those that ``learn`` admits.
+    """Fit on at most ``max_rows`` documents of the classes, of those that ``learn`` admits.
 
-    The executors turn texts into buckets; the driver gets at most ``sum(max_rows)`` bucket lists. Without rows of
-    both classes every text scores their share of class 1, or 0.5 where there is none.
+    The executors turn texts into buckets; the driver gets at most ``sum(max_rows)`` bucket lists. Where the documents do
+    not have labels of both classes, every text scores their share of class 1, or 0.5 where there is none.
     """
     texts, (n0, n1) = labelled(docs, labels, label, learn, max_rows)
     size = 1 << BITS
@@ -121,7 +121,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[i
     theta = minimise(loss, np.append(np.zeros(size), np.log(y.mean() / (1 - y.mean()))), rounds=40)
     # the sample's classes are not as frequent as the corpus's
     prior = np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model((theta[:-1] * scale).astype(np.float32), float(theta[-1] + prior))
+    model = Model((theta[:-1] * scale).astype(np.float32), float(theta[-1] + prior))
+    if not (np.isfinite(model.weights).all() and np.isfinite(model.intercept)):
+        raise ArithmeticError("the fit did not stay finite")
+    return model
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
