@@ -50,12 +50,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests that tell whether they decode to its text."""
+    """Token ids of every document, with the digests that tell whether they decode to its text.
+
+    Of the other columns ``doc_id``, ``lang`` and ``source`` stay, as far as there are.
+    """
     import public_tokenizers
 
     return bpe.bpe(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-        outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=("doc_id", "lang", "source"),
+        outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), keep=tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns),
     )
 
 
