@@ -81,29 +81,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[i
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "b": [buckets(t).tobytes() for t in pdf["text"]]})
 
-    ys, lists = [], []
+    # the sample as sparse rows in one buffer, which goes back to the system at the end: the buckets of all rows and
+    # how many each has
+    ys, sizes, packed = [], [], bytearray()
     for r in texts.mapInPandas(features, "y int, b binary").toLocalIterator():
         ys.append(r["y"])
-        lists.append(np.frombuffer(r["b"], dtype=np.int32))
-    y = np.array(ys, dtype=np.float64)
-    counts = np.zeros((2, size))
-    for k, b in zip(ys, lists, strict=True):
-        counts[k, b] += 1
-    p, q = counts[1] + 1, counts[0] + 1
+        sizes.append(len(r["b"]) // 4)
+        packed += r["b"]
+    y, sizes, flat = np.array(ys, dtype=np.float64), np.array(sizes), np.frombuffer(packed, dtype=np.int32)
+    p, q = (np.bincount(flat[np.repeat(y == k, sizes)], minlength=size) + 1.0 for k in (1, 0))
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    ratio[counts.sum(axis=0) < LEAST_ROWS] = 0
-    used = ratio != 0
-    lists = [b[used[b]] for b in lists]
+    ratio[p + q - 2 < LEAST_ROWS] = 0
     scale = (ratio / SCALE).astype(np.float32)
-    # the sample as sparse rows in blocks: the bucket of every entry, where rows start, and their sizes; a row without
-    # buckets has one of no weight
-    lists = [b if len(b) else np.array([size], np.int32) for b in lists]
-    blocks = []
-    while lists:
-        part = lists[:BLOCK_ROWS]
-        del lists[:BLOCK_ROWS]
-        sizes = np.array([len(b) for b in part])
-        blocks.append((np.concatenate(part), np.cumsum(sizes) - sizes, sizes))
+    used = (ratio != 0)[flat]
+    ends = np.cumsum(sizes)
+    kept = np.concatenate([[0], np.cumsum(used)])
+    sizes = kept[ends] - kept[ends - sizes]
+    flat = flat[used]
+    del packed, used, kept
+    # in blocks: the buckets, where rows start, and their sizes; a row without buckets has one of no weight
+    blocks, at = [], 0
+    for lo in range(0, len(sizes), BLOCK_ROWS):
+        own = sizes[lo : lo + BLOCK_ROWS]
+        wide = np.maximum(own, 1)
+        starts, part = np.cumsum(wide) - wide, np.full(wide.sum(), size, np.int32)
+        part[np.repeat(starts - np.cumsum(own) + own, own) + np.arange(own.sum())] = flat[at : at + own.sum()]
+        blocks.append((part, starts, wide))
+        at += own.sum()
+    del flat
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = theta[:-1], theta[-1]
