@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 GAPS = "-._*"
 
 
@@ -72,12 +74,9 @@ def residue_percent(seq):
 
 
 def offsets(markers: DataFrame) -> DataFrame:
-    """First column and end of every marker (marker_id, length) in the concatenation by marker_id.
-
-    Marker lists have a fixed size of hundreds, so one ordered window holds them.
-    """
-    end = F.sum("length").over(Window.orderBy("marker_id").rowsBetween(Window.unboundedPreceding, 0))
-    return markers.select("marker_id", "length", (end - F.col("length")).alias("start"), end.alias("end"))
+    """First column and end of every marker (marker_id, length) in the concatenation by marker_id: a running sum over ranges of ids."""
+    placed = running(markers.select("marker_id", "length"), [], ["marker_id"], end=("sum", "length"))
+    return placed.select("marker_id", "length", (F.col("end") - F.col("length")).alias("start"), "end")
 
 
 def concatenate(aligned: DataFrame, markers: DataFrame, genomes: DataFrame) -> DataFrame:
@@ -87,12 +86,18 @@ def concatenate(aligned: DataFrame, markers: DataFrame, genomes: DataFrame) -> D
     return filled.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("marker_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
 
 
-def owner(cols: DataFrame, placed: DataFrame, bin_width: int = 64) -> DataFrame:
-    """The marker of every alignment column, by its offsets: both sides meet by bins of columns, each marker in its few."""
-    bins = lambda c: F.floor(F.col(c) / bin_width)
-    each = placed.where("length > 0").select("marker_id", "start", "end", F.explode(F.sequence(bins("start"), F.floor((F.col("end") - 1) / bin_width))).alias("bin"))
-    met = cols.withColumn("bin", bins("col")).join(each, "bin").where((F.col("col") >= F.col("start")) & (F.col("col") < F.col("end")))
-    return met.select(*cols.columns, "marker_id")
+def owner(cols: DataFrame, placed: DataFrame) -> DataFrame:
+    """The marker of every alignment column, by its offsets: the last start at or before it, carried along the columns.
+
+    Starts and columns are one ordered table, so a marker of any length is one row of it. Columns beyond the last marker
+    have none and are left out.
+    """
+    kind = placed.schema["marker_id"].dataType
+    begins = placed.where("length > 0").select(F.col("start").cast("long").alias("__at"), F.lit(0).alias("__side"), F.struct("marker_id", "end").alias("__m"))
+    rows = cols.select(F.struct(*cols.columns).alias("__row"), F.col("col").cast("long").alias("__at"))
+    both = begins.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)).unionByName(rows.select("__row", "__at", F.lit(1).alias("__side"), F.lit(None).cast(begins.schema["__m"].dataType).alias("__m")))
+    held = running(both, [], ["__at", "__side"], last=("last", "__m")).where("__side = 1 AND __at < last.end")
+    return held.select("__row.*", F.col("last.marker_id").cast(kind).alias("marker_id"))
 
 
 def filter_by_taxa(msa: DataFrame, taxonomy: DataFrame, wanted: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
+
 #: What makes one hit more significant than another, as a struct whose minimum is the best hit.
 HIT = ("bit_score", "e_val", "hmm_id", "gene_id")
 
@@ -79,14 +81,12 @@ def multi_hit(counts: DataFrame, n_markers: int, least: float = 10.0) -> DataFra
 def coding_bases(genes: DataFrame) -> DataFrame:
     """Bases of each contig that some gene covers, overlaps once; one base less a contig, as genes count from 1.
 
-    ``genes`` has genome_id, contig, begin, end. The union of intervals is one window over each contig.
+    ``genes`` has genome_id, contig, begin, end. How far earlier genes reach is a running maximum over ranges of begins,
+    so that a contig of any number of genes is dealt to several tasks.
     """
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("genome_id", "contig").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reached = genes.withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
-    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin") - 1, F.col("reached")))
-    return reached.groupBy("genome_id", "contig").agg((F.sum(new) - 1).alias("coding_bases"))
+    rows = running(genes.select("genome_id", "contig", "begin", "end"), ["genome_id", "contig"], ["begin", "end"], inclusive=False, reached=("max", "end"))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin") - 1, F.coalesce("reached", F.lit(0))))
+    return rows.groupBy("genome_id", "contig").agg((F.sum(new) - 1).alias("coding_bases"))
 
 
 def coding_density(genes: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def unique(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of keys that occur once; a repeated key fails the query, as in a keyed store."""
@@ -38,12 +40,11 @@ def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def as_of(events: DataFrame, quotes: DataFrame, by: str, time: str, value: str) -> DataFrame:
-    """The last quote of the same key at or before each event; both sides meet in one window instead of a range join."""
-    rows = events.select("event_id", by, time, F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__side")).unionByName(
-        quotes.select(F.lit(None).cast("long").alias("event_id"), by, time, F.col(value).alias("__v"), F.lit(0).alias("__side"))
+    """The last quote of the same key at or before each event; both sides are one ordered table, and a key of any size is dealt to ranges of time."""
+    rows = events.select("event_id", by, time, F.lit(None).cast(quotes.schema[value].dataType).alias("__v"), F.lit(1).alias("__side")).unionByName(
+        quotes.select(F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), by, time, F.col(value).alias("__v"), F.lit(0).alias("__side"))
     )
-    before = Window.partitionBy(by).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("quote", F.last("__v", ignorenulls=True).over(before)).where("__side = 1").select("event_id", by, time, "quote")
+    return running(rows, [by], [time, "__side"], quote=("last", "__v")).where("__side = 1").select("event_id", by, time, "quote")
 
 
 def merge_notes(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
