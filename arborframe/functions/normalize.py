@@ -161,7 +161,13 @@ def translation_table(density4: Column, density11: Column, user: Column | None =
 
 
 def itol_label(taxon: Column) -> Column:
-    return F.replace(taxon, F.lit(";"), F.lit("|"))
+    """Taxa of a label parted by ``|`` alone, without quotes."""
+    return F.translate(F.replace(taxon, F.lit("; "), F.lit(";")), ";'", "|")
+
+
+def itol_length(edge: Column, support: Column) -> Column:
+    """An edge's length with the support of its node in brackets behind it; null where there is no length."""
+    return F.when(edge != 0, F.concat(edge.cast("string"), F.lit("["), F.coalesce(support.cast("string"), F.lit("None")), F.lit("]")))
 
 
 def taxa_at_ranks(text: Column) -> Column:

@@ -111,7 +111,7 @@ SELECT leaf AS node_id, anc AS anc_id, n_leaves, first_leaf FROM a JOIN m USING
 SELECT genome_id, array_to_string(list_transform(range(1, 8), lambda k: CASE WHEN k <= genome_id % 6 + 1 THEN taxa[k] ELSE {_P}[k] END), ';') AS trailing,
   array_to_string(list_transform(range(1, 8), lambda k: CASE WHEN (k - 1 + genome_id) % 3 <> 0 THEN taxa[k] ELSE {_P}[k] END), ';') AS missing,
   CASE WHEN taxa[7] = 's__' THEN 's__' ELSE 's__' || substr(taxa[6], 4) || ' ' || substr(taxa[7], 4) END AS species,
-  CASE WHEN genome_id % 6 > 0 THEN taxa[2] END AS phylum, array_to_string(taxa[1:genome_id % 6 + 1], '| ') AS itol FROM lineage""",
+  CASE WHEN genome_id % 6 > 0 THEN taxa[2] END AS phylum, array_to_string(taxa[1:genome_id % 6 + 1], '|') AS itol FROM lineage""",
     "trim_statistics": f"""WITH {_MSA}, p AS (SELECT id, CAST(length(seq) AS INTEGER) AS length, length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) * 100.0::DOUBLE / length(seq) AS percent FROM m)
 SELECT *, percent >= 75 AS kept FROM p""",
     "columns_per_marker": f"""WITH {_MARK}, n AS (SELECT marker_id, count(*) AS n FROM orders JOIN off ON o_orderkey >= "end" - length AND o_orderkey < "end" GROUP BY marker_id)

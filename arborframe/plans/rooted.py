@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arborframe.operators import graft as G
 from arborframe.operators import nested as S
 from arborframe.operators import rooting as M
 
-from .hierarchy import NODES, nodes
+from .hierarchy import NODES, nodes, read
 
 
 def tree_nested_sets(spark, sf_dir):
@@ -24,7 +25,16 @@ def tree_red_rootings(spark, sf_dir):
     return found.select("node_id", "n_rootings", F.round("red", 9).alias("red"))
 
 
-QUERIES = {f.__name__: f for f in (tree_nested_sets, tree_red_rootings)}
+def tree_grafted(spark, sf_dir):
+    """Suppliers as queries on the edges of their nations, many on one edge and several at one point."""
+    rows = nodes(spark, sf_dir)
+    edge = rows.select("node_id", "edge_length")
+    s = read(spark, sf_dir, "supplier").select(F.lit(1).alias("tree_id"), F.concat(F.lit("n-"), "s_nationkey").alias("node_id"), F.concat(F.lit("q-"), "s_suppkey").alias("query"), (F.col("s_suppkey") % 7).alias("k"), F.abs("s_acctbal").alias("pendant"))
+    placed = s.join(edge, "node_id").select("tree_id", "node_id", "query", (F.col("k") / 8 * F.col("edge_length")).alias("distal"), "pendant")
+    return G.graft(rows, placed).select("node_id", "parent_id", F.round("edge_length", 9).alias("edge_length"))
+
+
+QUERIES = {f.__name__: f for f in (tree_nested_sets, tree_red_rootings, tree_grafted)}
 
 SQL = {
     "tree_nested_sets": f"""WITH RECURSIVE {NODES},
@@ -50,4 +60,11 @@ red AS (
   FROM (SELECT rooting, id, unnest(way) AS anc FROM turned) w JOIN f ON f.rooting = w.rooting AND f.id = w.anc GROUP BY w.rooting, w.id
 )
 SELECT id AS node_id, count(*) AS n_rootings, round(median(red), 9) AS red FROM red WHERE id <> 'root' GROUP BY id""",
+    "tree_grafted": f"""WITH RECURSIVE {NODES},
+q AS (SELECT id, par, 'q-' || s_suppkey AS query, e, (s_suppkey % 7) / 8::DOUBLE * e AS distal, abs(s_acctbal) AS pendant FROM supplier JOIN nodes ON id = 'n-' || s_nationkey),
+o AS (SELECT *, lead(query) OVER w AS above, lead(distal) OVER w AS top, row_number() OVER w AS k FROM q WINDOW w AS (PARTITION BY id ORDER BY distal, query))
+SELECT query AS node_id, 'at:' || query AS parent_id, round(pendant, 9) AS edge_length FROM o
+UNION ALL SELECT 'at:' || query, coalesce('at:' || above, par), round(coalesce(top, e) - distal, 9) FROM o
+UNION ALL SELECT n.id, coalesce('at:' || o.query, n.par), CASE WHEN n.id <> 'root' THEN round(coalesce(o.distal, n.e), 9) END
+FROM nodes n LEFT JOIN o ON o.id = n.id AND o.k = 1""",
 }

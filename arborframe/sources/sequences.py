@@ -12,12 +12,13 @@ READ_SUFFIXES = (".fq", ".fastq", ".fq.gz", ".fastq.gz")
 def read_fasta(spark: SparkSession, path: str, last_wins: bool = True) -> DataFrame:
     """(source, ord, seq_id, annotation, seq) of plain or gzipped FASTA files.
 
-    Files are split at ``>``, so a plain file is read by many tasks; white space inside sequences goes, blank lines and
+    Files are split at lines that begin with ``>``, so a plain file is read by many tasks and a header may hold the mark
+    again; white space inside sequences goes, blank lines and
     empty files give nothing. Of records with one id in a file the last stays, unless ``last_wins`` is false.
     """
     if path.endswith(READ_SUFFIXES):
         raise ValueError(f"{path} holds reads, not sequences")
-    parts = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("ord"), "value")
+    parts = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", r"^\s*>", "").alias("value"))
     parts = parts.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "")
     header = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborframe.functions.normalize import prefixes
+from arborframe.functions.normalize import half_even, prefixes
 from arborframe.operators.relate import unique
 
 from .tables import MISSING
@@ -48,7 +48,7 @@ def write_summary(rows: DataFrame, path: str, columns: dict[str, str] | None = N
     columns = columns or SUMMARY
     held = {c for c in rows.columns}
     value = lambda c, t: _column(c) if c in held else F.lit(None).cast(t)
-    rounded = lambda c, t: F.round(value(c, t), 5) if c == "red_value" else value(c, t)
+    rounded = lambda c, t: half_even(value(c, t), 5) if c == "red_value" else value(c, t)
     text = F.array_join(F.array(*(F.coalesce(rounded(c, t).cast("string"), F.lit(MISSING)) for c, t in columns.items())), "\t")
     first = next(iter(columns))
     body = rows.select(F.lit(1).alias("part"), _column(first).alias("key"), text.alias("value"))

@@ -104,11 +104,11 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_placements(spark: SparkSession, path: str) -> DataFrame:
-    """(name, rank of the placement, fields by name) of placement JSON files."""
+    """(tree_id, name, rank of the placement, fields by name) of placement JSON files; the tree's id is the file's name."""
     schema = "tree string, fields array<string>, placements array<struct<p:array<array<double>>,nm:array<array<string>>>>"
-    each = spark.read.schema(schema).option("multiLine", True).json(path).select("fields", F.explode("placements").alias("x"))
-    placed = each.select("fields", F.explode("x.nm").alias("nm"), "x.p").select("fields", F.get("nm", F.lit(0)).alias("name"), F.posexplode("p").alias("k", "values"))
-    return placed.select("name", "k", F.map_from_arrays("fields", "values").alias("placement"))
+    each = spark.read.schema(schema).option("multiLine", True).json(path).select(F.regexp_replace(F.input_file_name(), "^.*/", "").alias("tree_id"), "fields", F.explode("placements").alias("x"))
+    placed = each.select("tree_id", "fields", F.explode("x.nm").alias("nm"), "x.p").select("tree_id", "fields", F.get("nm", F.lit(0)).alias("name"), F.posexplode("p").alias("k", "values"))
+    return placed.select("tree_id", "name", "k", F.map_from_arrays("fields", "values").alias("placement"))
 
 
 def read_run_log(spark: SparkSession, path: str, known: tuple[str, ...]) -> DataFrame:
