@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import cut, letter_counts
 from .scan import running
 
 GAPS = "-._*"
@@ -19,11 +20,10 @@ def consensus(msa: DataFrame, min_taxa: float = 0.5, least: float = 0.25, most:
     """Per column: rows, gaps, top residue count, and whether the column is kept.
 
     Kept are columns whose gap share is at most 1 - ``min_taxa`` and whose top residue has at least ``least`` and less
-    than ``most`` of the rest. Counts are summed by (column, residue) before a column's rows meet, so a column of any
-    depth is a few partial sums.
+    than ``most`` of the rest. Every task counts its rows in a table of columns by letters, so a column of any depth is
+    a few partial sums. Null and empty sequences have no columns.
     """
-    residue = F.upper("aa")
-    counts = columns(msa).groupBy("col", residue.alias("aa")).agg(F.count("*").alias("n"))
+    counts = letter_counts(msa).groupBy("col", F.upper("aa").alias("aa")).agg(F.sum("n").alias("n"))
     gap = F.col("aa").isin(*GAPS)
     per = counts.groupBy("col").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(gap, F.col("n"))), F.lit(0)).alias("n_gaps"), F.max(F.when(~gap, F.col("n"))).alias("n_top"))
     full = F.col("n_rows") - F.col("n_gaps")
@@ -39,11 +39,10 @@ def sample_columns(kept: DataFrame, per_marker: int, seed: int = 0) -> DataFrame
 
 
 def apply_mask(msa: DataFrame, mask: str) -> DataFrame:
-    """Sequences cut to the columns where ``mask`` has a 1; a sequence of another length fails. One pass over each row."""
-    keep = F.split(F.lit(mask.strip()), "")
-    cut = F.array_join(F.filter(F.split("seq", ""), lambda c, i: F.get(keep, i) == "1"), "")
-    checked = F.when(F.length("seq") != len(mask.strip()), F.raise_error(F.concat(F.lit("length differs from the mask's: "), F.col("id")))).otherwise(cut)
-    return msa.withColumn("seq", checked)
+    """Sequences cut to the columns where ``mask`` has a 1; a sequence of another length fails, null stays. Rows are cut as byte matrices, a batch at once."""
+    keep = mask.strip()
+    checked = F.when(F.length("seq") != len(keep), F.raise_error(F.concat(F.lit("length differs from the mask's: "), F.col("id")))).otherwise(F.col("seq"))
+    return msa.withColumn("seq", cut(checked, keep))
 
 
 def trim_statistics(msa: DataFrame, least_percent: float) -> DataFrame:

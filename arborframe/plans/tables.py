@@ -94,8 +94,8 @@ def taxa_filter(spark, sf_dir):
 def _msa(spark, sf_dir):
     """Whole texts as an alignment of 64 columns: every block of 64 characters is a row, the last one filled with gaps."""
     docs = read(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.translate("text", " .\nß", "-*_s").alias("text"))
-    blocks = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 64).cast("int") - 1)).alias("block"))
-    return blocks.select(F.concat_ws("-", "doc_id", "block").alias("id"), F.rpad(F.col("text").substr(F.col("block") * 64 + 1, F.lit(64)), 64, "-").alias("seq"))
+    blocks = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,64}"), 0)).alias("block", "seq"))
+    return blocks.select(F.concat_ws("-", "doc_id", "block").alias("id"), F.rpad("seq", 64, "-").alias("seq"))
 
 
 MASK = "1100" * 12 + "0111" * 4

@@ -178,3 +178,23 @@ def test_display_labels(spark):
     assert tuple(row) == ("d__X|p__Y|c__Z", "0.25[95.0]")
     nodes = spark.createDataFrame([(1, 0, None, 0, None, "r", None), (1, 1, 0, 0, 0.5, "in", "0.5[9]"), (1, 2, 1, 0, 1.0, "a", None)], "tree_id int, node_id long, parent_id long, ord int, edge_length double, label string, edge_text string")
     assert newick.write_newick(nodes).first()["newick"] == "((a:1)in:0.5[9])r;"
+
+
+def test_columns_of_odd_alignments(spark, monkeypatch):
+    """Letters of several bytes, nulls, empty and ragged rows, in slices of a few rows, against plain strings."""
+    from arborframe.operators import alignment as A
+    from arborframe.operators import blocks
+
+    rng = random.Random(6)
+    rows = ["".join(rng.choice("ACGT-äß漢\U0001f600" if k % 5 == 0 else "acGT-") for _ in range(12)) for k in range(300)] + [None]
+    msa = spark.createDataFrame([(str(k), s) for k, s in enumerate(rows)], "id string, seq string")
+    mask = "101100000011"
+    got = {r["id"]: r["seq"] for r in A.apply_mask(msa, mask).collect()}
+    assert got == {str(k): s and "".join(c for c, m in zip(s, mask, strict=True) if m == "1") for k, s in enumerate(rows)}
+    assert A.apply_mask(msa, "0" * 12).where("seq <> ''").isEmpty() and A.apply_mask(msa.limit(0), mask).isEmpty()
+    ragged = spark.createDataFrame([(s and s[: rng.randint(0, 12)],) for s in rows] + [("x" * 70_000,)], "seq string")
+    want: dict = {}
+    for r in ragged.collect():
+        for i, c in enumerate(r["seq"] or ""):
+            want[i, c] = want.get((i, c), 0) + 1
+    assert {(r["col"], r["aa"]): r["n"] for r in blocks.letter_counts(ragged).collect()} == want
