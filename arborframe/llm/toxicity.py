@@ -29,6 +29,8 @@ SCALE = 10.0
 #: A bucket that fewer rows of the sample hold has no weight.
 LEAST_ROWS = 3
 #: Rows of the sample that the fit reads at once.
+#: Partitions that the sample of the fit comes to the driver in.
+SAMPLE_PARTITIONS = 8
 BLOCK_ROWS = 256
 
 _seen = np.zeros(1 << BITS, dtype=bool)
@@ -84,21 +86,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn, max_rows: tuple[i
     # the sample as sparse rows in one buffer, which goes back to the system at the end: the buckets of all rows and
     # how many each has
     ys, sizes, packed = [], [], bytearray()
-    for r in texts.mapInPandas(features, "y int, b binary").toLocalIterator():
+    # few partitions: the driver asks for one after the other
+    for r in texts.coalesce(SAMPLE_PARTITIONS).mapInPandas(features, "y int, b binary").toLocalIterator():
         ys.append(r["y"])
         sizes.append(len(r["b"]) // 4)
         packed += r["b"]
     y, sizes, flat = np.array(ys, dtype=np.float64), np.array(sizes), np.frombuffer(packed, dtype=np.int32)
-    p, q = (np.bincount(flat[np.repeat(y == k, sizes)], minlength=size) + 1.0 for k in (1, 0))
+    ends = np.cumsum(sizes)
+    counts = np.zeros((2, size))
+    for k, n, end in zip(ys, sizes.tolist(), ends.tolist(), strict=True):
+        counts[k, flat[end - n : end]] += 1
+    p, q = counts[1] + 1, counts[0] + 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[p + q - 2 < LEAST_ROWS] = 0
     scale = (ratio / SCALE).astype(np.float32)
     used = (ratio != 0)[flat]
-    ends = np.cumsum(sizes)
-    kept = np.concatenate([[0], np.cumsum(used)])
-    sizes = kept[ends] - kept[ends - sizes]
+    sizes = np.array([np.count_nonzero(used[end - n : end]) for n, end in zip(sizes.tolist(), ends.tolist(), strict=True)], np.int64)
     flat = flat[used]
-    del packed, used, kept
+    del packed, used
     # in blocks: the buckets, where rows start, and their sizes; a row without buckets has one of no weight
     blocks, at = [], 0
     for lo in range(0, len(sizes), BLOCK_ROWS):
