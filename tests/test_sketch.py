@@ -65,6 +65,7 @@ def family(rng, n):
 @pytest.mark.parametrize("scaled", [1, 8])
 def test_agrees_with_plain_sets(spark, scaled, monkeypatch):
     monkeypatch.setattr(K, "POSTINGS", 3)  # many hashes are split
+    monkeypatch.setattr(K, "BLOCK", 500)  # and many blocks
     rows = family(random.Random(5), 70)
     out = K.closest(spark.createDataFrame(rows, SCHEMA), 12, scaled, 100, 0.9, 0.4).collect()
     got = {r["query"]: (r["n_links"], r["ref"], r["ani"] and round(r["ani"], 9), r["af"] and round(r["af"], 9)) for r in out}
