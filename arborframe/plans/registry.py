@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, hierarchy, rooted, sketches, tables
+from . import derived, hierarchy, rooted, sketches, streams, tables
 
-MODULES = (hierarchy, tables, derived, rooted, sketches)
+MODULES = (hierarchy, tables, derived, rooted, sketches, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
 
