@@ -60,8 +60,8 @@ SQL = {
     "stream_totals": "SELECT user_id, count(*) AS n, CAST(coalesce(sum(CAST(value AS DECIMAL(18,6))), 0) AS DOUBLE) AS total FROM events GROUP BY 1",
     "stream_join": """SELECT c.user_id, c.event_id AS first_id, p.event_id AS then_id FROM events c JOIN events p
         ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 12 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
-    "stream_late": """WITH a AS (SELECT *, ts + CASE WHEN event_id % 5 = 0 THEN INTERVAL 11 DAY ELSE INTERVAL 0 DAY END AS at FROM events),
-        b AS (SELECT *, CASE WHEN at >= TIMESTAMP '2024-01-21' THEN 2 WHEN at >= TIMESTAMP '2024-01-11' THEN 1 ELSE 0 END AS batch FROM a),
+    "stream_late": """WITH a AS (SELECT *, ts + CASE WHEN event_id % 5 = 0 THEN INTERVAL 11 DAY ELSE INTERVAL 0 DAY END AS came FROM events),
+        b AS (SELECT *, CASE WHEN came >= TIMESTAMP '2024-01-21' THEN 2 WHEN came >= TIMESTAMP '2024-01-11' THEN 1 ELSE 0 END AS batch FROM a),
         m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM b GROUP BY batch)
         SELECT event_id, CAST(batch AS BIGINT) AS batch, coalesce(ts < mark, false) AS late FROM b JOIN m USING (batch)""",
 }
