@@ -14,6 +14,67 @@ def _rank(order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy("query").orderBy(*order))
 
 
+#: Vectors of a label that meet in one task, of either side, and queries whose products are held at once.
+BLOCK, SLICE = 4096, 512
+
+
+def _classes(x: np.ndarray) -> np.ndarray:
+    """Indicators of what sign a component has; numbers that are none have their own."""
+    return np.concatenate([x > 0, x < 0, x == 0, np.isnan(x)], axis=1).astype(np.float32)
+
+
+def compared(queries: DataFrame, refs: DataFrame, min_af: float | None = None, best: bool = False) -> DataFrame:
+    """(query, ref, ani, af) of queries and references of one label: cosine to nine decimals, and the share of equal signs.
+
+    ``queries`` has query, label and v, ``refs`` ref, label, v and, where hits must reach it, ``radius``. Hits below
+    ``min_af`` are left out; with ``best`` each block of references shows a query's best only, from which :func:`closest`
+    picks. Vectors of one label meet in cells of a block of queries and a block of references, as matrices: every pair is
+    compared, a vector travels once for a block of the other side, and a task holds two blocks. Vectors that are null or
+    hold nulls, null labels and pairs of different lengths take no part. A cosine that is no number reaches every radius and is the last of a query.
+    """
+    bounded = "radius" in refs.columns
+    key = ["label", "dims"]
+    whole = lambda df: df.where("label IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)").withColumn("dims", F.size("v"))
+    queries, refs = whole(queries), whole(refs)
+    parts = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    counts = parts(queries, "q_parts").join(parts(refs, "r_parts"), key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    asked = queries.join(counts, key).select("query", *key, "v", own("query", "q_parts").alias("q_part"), every("r_parts").alias("r_part"))
+    placed = own("ref", "r_parts").alias("at_r"), every("q_parts").alias("at_q")
+    held = refs.join(counts, key).select("ref", F.col("label").alias("of"), F.col("dims").alias("long"), F.col("v").alias("w"), *["radius"] * bounded, *placed)
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            right = right.sort_values("ref")  # of equal hits the first is the smallest
+            w = np.stack(right["w"].to_numpy()).astype(np.float64)
+            w_norm, w_signs, ref = np.sqrt((w * w).sum(1)), _classes(w), right["ref"].to_numpy()
+            for lo in range(0, len(left), SLICE):
+                v = np.stack(left["v"].to_numpy()[lo : lo + SLICE]).astype(np.float64)
+                with np.errstate(all="ignore"):
+                    ani = np.round(v @ w.T / (np.sqrt((v * v).sum(1))[:, None] * w_norm), 9)
+                af = (_classes(v) @ w_signs.T).astype(np.float64) / w.shape[1]
+                is_hit = np.ones(ani.shape, bool) if min_af is None else af >= min_af
+                if bounded:
+                    is_hit &= ~(ani < right["radius"].to_numpy(np.float64))
+                if best:
+                    value = np.where(is_hit, np.where(np.isnan(ani), -2.0, ani), -np.inf)
+                    is_hit &= value == value.max(1, keepdims=True)
+                    rest = np.where(is_hit, af, -1.0)
+                    at = rest.argmax(1)
+                    i = np.flatnonzero(is_hit[np.arange(len(at)), at])
+                    j = at[i]
+                else:
+                    i, j = np.nonzero(is_hit)
+                found.append(pd.DataFrame({"query": left["query"].to_numpy()[lo : lo + SLICE][i], "ref": ref[j], "ani": ani[i, j], "af": af[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({"query": [], "ref": [], "ani": [], "af": []})
+
+    at = [*key, "q_part", "r_part"]
+    ids = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((queries, "query"), (refs, "ref"))]
+    return asked.groupBy(*at).cogroup(held.groupBy("of", "long", "at_q", "at_r")).applyInPandas(cell, f"{', '.join(ids)}, ani double, af double")
+
+
 BY_ANI = (F.desc, "ani"), (F.desc, "af"), (F.asc, "ref")
 
 

@@ -133,15 +133,13 @@ def concatenate_markers(spark, sf_dir):
     return A.concatenate(aligned, markers, grid)
 
 
-def _ani(spark, sf_dir):
+def _ani(spark, sf_dir, min_af=None, best=False, bounded=False):
     """Queries against the representatives (every tenth vector) of their label: cosine as ani, share of equal signs as af."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("norm", norm)
-    reps = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), "label", F.col("v").alias("w"), F.col("norm").alias("w_norm"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    same = F.size(F.filter(F.zip_with("v", "w", lambda a, b: F.signum(a) == F.signum(b)), lambda x: x)) / F.size("v")
-    pairs = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("query"), "label", "v", "norm").join(reps, "label")
-    return pairs.select("query", "ref", F.round(dot / (F.col("norm") * F.col("w_norm")), 9).alias("ani"), same.alias("af"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    reps = e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "ref")
+    if bounded:
+        reps = reps.join(_radius(spark, sf_dir).withColumnRenamed("ani", "radius"), "ref")
+    return S.compared(e.where("vec_id % 10 <> 0").withColumnRenamed("vec_id", "query"), reps, min_af, best)
 
 
 def _radius(spark, sf_dir):
@@ -150,23 +148,23 @@ def _radius(spark, sf_dir):
 
 def ani_closest(spark, sf_dir):
     queries = read(spark, sf_dir, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("query"))
-    return S.report_closest(queries, _ani(spark, sf_dir), 0.6, _radius(spark, sf_dir))
+    return S.report_closest(queries, _ani(spark, sf_dir, 0.6, best=True), 0.6, _radius(spark, sf_dir))
 
 
 def ani_topk_screen(spark, sf_dir):
-    return S.screen(_ani(spark, sf_dir), _radius(spark, sf_dir), 0.55)
+    return S.screen(_ani(spark, sf_dir, 0.55, best=True, bounded=True), _radius(spark, sf_dir), 0.55)
 
 
 def ani_topk_confirm(spark, sf_dir):
-    return S.confirm(_ani(spark, sf_dir), _radius(spark, sf_dir), 0.55)
+    return S.confirm(_ani(spark, sf_dir, 0.55, best=True), _radius(spark, sf_dir), 0.55)
 
 
 def theta_radius_join(spark, sf_dir):
-    return S.within_radius(_ani(spark, sf_dir), _radius(spark, sf_dir)).select("query", "ref")
+    return _ani(spark, sf_dir, bounded=True).select("query", "ref")
 
 
 def related_refs(spark, sf_dir):
-    return S.other_related(_ani(spark, sf_dir), 0.62)
+    return S.other_related(_ani(spark, sf_dir, 0.62), 0.62)
 
 
 def range_rank_join(spark, sf_dir):

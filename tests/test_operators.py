@@ -98,3 +98,26 @@ def test_minhash_by_brute_force(spark, tmp_path):
     share = {(q, r): len(sets[q] & sets[r]) / len(sets[q] | sets[r]) for q in sets if q % 20 == 0 for r in sets if q != r}
     got = {(r["query"], r["ref"]): r["similarity"] for r in tables.minhash_similarity(spark, str(tmp_path)).collect()}
     assert got == {p: s for p, s in share.items() if s >= 0.5} and any(0.5 <= s < 0.7 for s in got.values())
+
+
+def test_vectors_of_a_label_meet_in_blocks(spark, monkeypatch):
+    """Several blocks of either side, nulls, zeros, other lengths: every pair once, and the best of each query."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = random.Random(7)
+    rows = [(i, i % 3 or None, [rng.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(6)] + [1.0]) for i in range(240)] + [(500, 1, None), (501, 1, [1.0, None]), (502, 1, [1.0, 2.0]), (503, 2, [])]
+    df = spark.createDataFrame(rows, "id long, label int, v array<float>")
+    queries, refs = df.where("id % 4 <> 0").withColumnRenamed("id", "query"), df.where("id % 4 = 0").withColumnRenamed("id", "ref").withColumn("radius", F.lit(0.3))
+    want = {}
+    for q, label, v in rows:
+        for r, other, w in rows:
+            if q % 4 and not r % 4 and label and label == other and v and w and len(v) == len(w) and None not in v + w:
+                ani = round(sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5, 9)
+                want[q, r] = ani, sum((a > 0) - (a < 0) == (b > 0) - (b < 0) for a, b in zip(v, w)) / len(v)
+    plain = lambda found: {(x["query"], x["ref"]): (round(x["ani"], 8), x["af"]) for x in found.collect()}
+    near = lambda pairs: {p: (round(a, 8), f) for p, (a, f) in pairs.items()}
+    assert plain(S.compared(queries, refs.drop("radius"))) == near(want)
+    held = {p: x for p, x in want.items() if x[0] >= 0.3 and x[1] >= 0.4}
+    assert plain(S.compared(queries, refs, 0.4)) == near(held)
+    best = {q: min((-a, -f, r) for (p, r), (a, f) in held.items() if p == q) for q, _ in held}
+    got = S.closest(S.compared(queries, refs, 0.4, best=True), 0.4).collect()
+    assert {x["query"]: x["ref"] for x in got} == {q: x[2] for q, x in best.items()}
