@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import written
+from .sketch import blocks
+
 
 def _rank(order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy("query").orderBy(*order))
@@ -151,36 +154,83 @@ def _shingles(text: str, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def shingle_signatures(docs: DataFrame, k: int = 5, n: int = 16) -> DataFrame:
-    """(id, slot, value): minimum hash of each of ``n`` families over the k-letter substrings of a sequence; none of a null."""
-
-    @F.pandas_udf("array<long>")
-    def least(texts: pd.Series) -> pd.Series:
-        seeds = _mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return pd.Series([np.array([_mixed(x ^ s).min() for s in seeds]).view(np.int64) for x in (_shingles(t, k) for t in texts)], dtype=object)
+#: Pairs at the least similarity that the comparison of signatures may lose, and substrings of the texts in a block.
+LOST, SHINGLES = 1e-6, 2**21
 
-    return docs.where("seq IS NOT NULL").select("id", F.posexplode(least("seq")).alias("slot", "value"))
 
+def shingle_signatures(docs: DataFrame, k: int = 5, n: int = 40) -> DataFrame:
+    """``docs`` (seq and others) with ``bands``, ``symbols`` and ``n_shingles`` of the k-letter substrings.
 
-def sketch_similarity(queries: DataFrame, refs: DataFrame, k: int = 5, n: int = 16) -> DataFrame:
-    """Jaccard similarity of the k-letter substrings of every query and reference that share a signature slot.
-
-    The slots only find the candidates: a pair of similarity s is among them with probability 1 - (1 - s) ** n, at 16
-    slots 0.99998 for s = 0.5. Each candidate's similarity is counted from its substrings.
+    Each of ``n`` bands is a hash of the minima of two families; of all 2 * ``n`` minima the last four bits are kept,
+    sixteen in a number.
     """
-    a = shingle_signatures(queries, k, n).withColumnRenamed("id", "query")
-    b = shingle_signatures(refs, k, n).withColumnRenamed("id", "ref")
-    pairs = a.join(b, ["slot", "value"]).select("query", "ref").distinct()
-    texts = pairs.join(queries.select(F.col("id").alias("query"), F.col("seq").alias("x")), "query").join(refs.select(F.col("id").alias("ref"), F.col("seq").alias("y")), "ref")
-
-    @F.pandas_udf("double")
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        held = lru_cache(256)(lambda t: _shingles(t, k))
 
-        def one(u: np.ndarray, v: np.ndarray) -> float:
-            same = len(np.intersect1d(u, v, assume_unique=True))
-            return same / (len(u) + len(v) - same)
-
-        return pd.Series([one(held(t), held(u)) for t, u in zip(x, y, strict=True)], dtype=float)
-
-    return texts.select("query", "ref", jaccard("x", "y").alias("similarity"))
+    @F.pandas_udf("bands array<long>, symbols array<long>, n_shingles long")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        seeds = _mixed(np.arange(1, 4 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        factors, seeds = seeds[: 2 * n] | np.uint64(1), seeds[2 * n :]
+        at, rows = np.uint64(4) * (np.arange(2 * n, dtype=np.uint64) % np.uint64(16)), []
+        for text in texts:
+            x = _shingles(text, k)
+            least = np.array([((x ^ s) * f >> np.uint64(32)).min() for s, f in zip(seeds, factors, strict=True)])
+            symbols = np.add.reduceat((least & np.uint64(15)) << at, np.arange(0, 2 * n, 16))
+            rows.append((_mixed(least[::2] << np.uint64(32) | least[1::2]).view(np.int64), symbols.view(np.int64), len(x)))
+        return pd.DataFrame(rows, columns=["bands", "symbols", "n_shingles"])
+
+    return docs.select(*docs.columns, signed("seq").alias("s")).select(*docs.columns, "s.*")
+
+
+def _agreeing(slots: int, least: float) -> int:
+    """Symbols of ``slots`` that a pair of similarity ``least`` has equal, but for a share of ``LOST``; one in 16 is equal by chance."""
+    p, total = (1 + 15 * least) / 16, 0.0
+    for m in range(slots + 1):
+        total += comb(slots, m) * p**m * (1 - p) ** (slots - m)
+        if total > LOST:
+            return m if least > 0 else 0
+    return 0
+
+
+def sketch_similarity(queries: DataFrame, refs: DataFrame, k: int = 5, n: int = 40, least: float = 0.0) -> DataFrame:
+    """Jaccard similarity of the k-letter substrings of queries and references that share a band of signatures and have
+    ``least`` or more.
+
+    The bands only find the candidates: a pair of similarity s is among them with probability 1 - (1 - s ** 2) ** n, at
+    40 bands 0.99999 for s = 0.5. Those whose numbers of substrings or whose signatures show that they are below ``least``
+    go, and what is left is counted from the substrings. Equal texts are one class, compared once; a text travels once
+    for every cell of two blocks that it has candidates in.
+    """
+    side = lambda df, a: df.where("seq IS NOT NULL").select("id", "seq", F.lit(a).alias("is_query"), F.unhex(F.md5(F.col("seq").cast("binary"))).alias("cls"))
+    asked, held = side(queries, True), side(refs, False)
+    texts = asked.unionByName(held).groupBy("cls").agg(F.first("seq").alias("seq"), F.bool_or("is_query").alias("is_query"), F.bool_or(~F.col("is_query")).alias("is_ref"))
+    classes = written(shingle_signatures(texts, k, n))
+    bands = lambda kind, c: classes.where(kind).select(F.col("cls").alias(c), F.posexplode("bands").alias("slot", "value"))
+    met = bands("is_query", "q").join(bands("is_ref", "r"), ["slot", "value"]).where("q <> r").select("q", "r").distinct()
+    said = lambda c: classes.select(F.col("cls").alias(c), F.col("symbols").alias(f"{c}_symbols"), F.col("n_shingles").alias(f"{c}_n"))
+    other = F.zip_with("q_symbols", "r_symbols", lambda a, b: a.bitwiseXOR(b))
+    ones = lambda x: F.shiftright(x, 1).bitwiseOR(x)
+    unlike = lambda x: F.bit_count(F.shiftright(ones(x), 2).bitwiseOR(ones(x)).bitwiseAND(F.lit(0x1111111111111111)))
+    differ = F.aggregate(other, F.lit(0), lambda s, x: s + unlike(x))
+    near = (F.least("q_n", "r_n") >= least * F.greatest("q_n", "r_n")) & (differ <= 2 * n - _agreeing(2 * n, least))
+    pairs = written(met.join(said("q"), "q").join(said("r"), "r").where(near).select("q", "r"))
+
+    def counted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        sets, out = {r: _shingles(y, k) for r, y in zip(right["r"], right["y"], strict=True)}, []
+        for q, x, found in zip(left["q"], left["x"], left["found"], strict=True):
+            u = _shingles(x, k)
+            for r in found:
+                v = sets[r]
+                same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                out.append((q, r, same / (len(u) + len(v) - same)))
+        return pd.DataFrame(out, columns=["q", "r", "similarity"])
+
+    placed = written(blocks(classes.select("cls", F.element_at("bands", 1).alias("least"), F.col("n_shingles").alias("n")), SHINGLES))
+    at = lambda c: placed.select(F.col("cls").alias(c), F.col("block").alias(f"{c}_block"))
+    cells = written(pairs.join(at("q"), "q").join(at("r"), "r"))
+    text = lambda c, name: classes.select(F.col("cls").alias(c), F.col("seq").alias(name))
+    left = cells.groupBy("q_block", "r_block", "q").agg(F.collect_list("r").alias("found")).join(text("q", "x"), "q")
+    right = cells.select(F.col("q_block").alias("u"), F.col("r_block").alias("v"), "r").distinct().join(text("r", "y"), "r")
+    judged = left.groupBy("q_block", "r_block").cogroup(right.groupBy("u", "v")).applyInPandas(counted, "q binary, r binary, similarity double")
+    equal = classes.where("is_query AND is_ref").select(F.col("cls").alias("q"), F.col("cls").alias("r"), F.lit(1.0).alias("similarity"))
+    links = judged.where(F.col("similarity") >= least).unionAll(equal)
+    named = lambda df, c, name: df.select(F.col("cls").alias(c), F.col("id").alias(name))
+    return links.join(named(asked, "q", "query"), "q").join(named(held, "r", "ref"), "r").select("query", "ref", "similarity")

@@ -249,7 +249,7 @@ def stream_dedup(spark, sf_dir):
 
 def minhash_similarity(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
-    return S.sketch_similarity(docs.where("id % 20 = 0"), docs, 8, 16).where("query <> ref AND similarity >= 0.5")
+    return S.sketch_similarity(docs.where("id % 20 = 0"), docs, 8, 40, 0.5).where("query <> ref AND similarity >= 0.5")
 
 
 def translation_table(spark, sf_dir):

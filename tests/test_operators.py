@@ -121,3 +121,18 @@ def test_vectors_of_a_label_meet_in_blocks(spark, monkeypatch):
     best = {q: min((-a, -f, r) for (p, r), (a, f) in held.items() if p == q) for q, _ in held}
     got = S.closest(S.compared(queries, refs, 0.4, best=True), 0.4).collect()
     assert {x["query"]: x["ref"] for x in got} == {q: x[2] for q, x in best.items()}
+
+
+def test_only_pairs_of_the_least_similarity_are_counted(spark):
+    """Texts that share a third with all others are no links; copies are, of queries and references alike."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared, rows = word(200), []
+    for i in range(40):
+        own = word(300)
+        rows += [(3 * i, shared + own), (3 * i + 1, shared + own), (3 * i + 2, shared + own[:290] + word(10))]
+    docs = spark.createDataFrame(rows, "id long, seq string")
+    sets = {i: {t[j : j + 8] for j in range(len(t) - 7)} for i, t in rows}
+    share = {(q, r): len(sets[q] & sets[r]) / len(sets[q] | sets[r]) for q in sets if q % 6 == 0 for r in sets}
+    got = {(x["query"], x["ref"]): x["similarity"] for x in S.sketch_similarity(docs.where("id % 6 = 0"), docs, 8, 40, 0.5).collect()}
+    assert got == {p: s for p, s in share.items() if s >= 0.5} and len(got) == 60
