@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborframe.functions.normalize import RANKS, bad_species, is_full, prefixes
 
 
+def dealt(taxonomy: DataFrame) -> DataFrame:
+    """The lineages dealt to all tasks by genome, before each becomes seven rows: a small file may hold very many."""
+    return taxonomy.repartition("genome_id")
+
+
 def long_form(taxonomy: DataFrame) -> DataFrame:
     """(genome_id, rank_idx, taxon) of named taxa."""
     return taxonomy.select("genome_id", F.posexplode("taxa").alias("rank_idx", "taxon")).where(F.length("taxon") > 3)
@@ -15,20 +20,21 @@ def long_form(taxonomy: DataFrame) -> DataFrame:
 
 def extant(taxonomy: DataFrame) -> DataFrame:
     """Genomes of every named taxon, as a count by (rank, taxon)."""
-    return long_form(taxonomy).groupBy("rank_idx", "taxon").agg(F.count_distinct("genome_id").alias("n_genomes"))
+    return long_form(dealt(taxonomy)).groupBy("rank_idx", "taxon").agg(F.count_distinct("genome_id").alias("n_genomes"))
 
 
 def children(taxonomy: DataFrame) -> DataFrame:
     """Distinct child taxa of every taxon, genomes for species. A gap in a lineage is skipped."""
-    rows = long_form(taxonomy)
-    after = Window.partitionBy("genome_id").orderBy("rank_idx")
-    linked = rows.withColumn("child", F.coalesce(F.lead("taxon").over(after), F.col("genome_id").cast("string")))
-    return linked.groupBy("rank_idx", "taxon").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    each = F.transform("taxa", lambda t, i: F.struct(i.alias("rank_idx"), t.alias("taxon")))
+    rows = dealt(taxonomy).select("genome_id", F.filter(each, lambda x: F.length(x["taxon"]) > 3).alias("named"))
+    below = F.coalesce(F.get("named", F.col("at") + 1)["taxon"], F.col("genome_id").cast("string"))
+    linked = rows.select("genome_id", "named", F.posexplode("named").alias("at", "x")).select("x.rank_idx", "x.taxon", below.alias("child"))
+    return linked.distinct().groupBy("rank_idx", "taxon").agg(F.array_sort(F.collect_list("child")).alias("children"))
 
 
 def parents(taxonomy: DataFrame) -> DataFrame:
     """Lineage above every taxon; with several, the number of them and the first in order."""
-    above = taxonomy.select("genome_id", "taxa", F.posexplode("taxa").alias("rank_idx", "taxon")).where(F.length("taxon") > 3)
+    above = dealt(taxonomy).select("genome_id", "taxa", F.posexplode("taxa").alias("rank_idx", "taxon")).where(F.length("taxon") > 3)
     lineage = F.array_join(F.expr("slice(taxa, 1, rank_idx)"), ";")
     return above.groupBy("rank_idx", "taxon").agg(F.min(lineage).alias("lineage"), F.count_distinct(lineage).alias("n_lineages"))
 

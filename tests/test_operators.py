@@ -12,6 +12,7 @@ from arborframe.functions import normalize as N
 from arborframe.operators import alignment as A
 from arborframe.operators import hits as H
 from arborframe.operators import similarity as S
+from arborframe.operators import taxonomy as T
 from arborframe.plans import tables
 from arborframe.streaming import events as E
 
@@ -136,3 +137,12 @@ def test_only_pairs_of_the_least_similarity_are_counted(spark):
     share = {(q, r): len(sets[q] & sets[r]) / len(sets[q] | sets[r]) for q in sets if q % 6 == 0 for r in sets}
     got = {(x["query"], x["ref"]): x["similarity"] for x in S.sketch_similarity(docs.where("id % 6 = 0"), docs, 8, 40, 0.5).collect()}
     assert got == {p: s for p, s in share.items() if s >= 0.5} and len(got) == 60
+
+
+def test_children_of_a_genome_in_two_rows(spark):
+    """Each row is a lineage of its own; open ranks are skipped, and rows are dealt out before they become seven."""
+    rows = [("g1", ["d__A", "p__", "c__C"]), ("g1", ["d__A", "p__", "c__C"]), ("g2", ["d__A", "p__B", "c__"]), ("g3", None)]
+    taxonomy = spark.createDataFrame(rows, "genome_id string, taxa array<string>")
+    got = {(r["rank_idx"], r["taxon"]): r["children"] for r in T.children(taxonomy).collect()}
+    assert got == {(0, "d__A"): ["c__C", "p__B"], (1, "p__B"): ["g2"], (2, "c__C"): ["g1"]}
+    assert "Window" not in T.children(taxonomy)._jdf.queryExecution().optimizedPlan().toString()
