@@ -37,8 +37,8 @@ def tree_phyla(spark, sf_dir):
 def tree_nearest(spark, sf_dir):
     encoded = R.encode(nodes(spark, sf_dir))
     leaves = read(spark, sf_dir, "customer").select("c_custkey", F.lit(1).alias("tree_id"), F.concat(F.lit("c-"), "c_custkey").alias("node_id"))
-    found = R.nearest_marked(encoded, leaves.where("c_custkey % 97 <> 0").drop("c_custkey"), leaves.where("c_custkey % 97 = 0").drop("c_custkey"))
-    return found.groupBy("node_id", "anc_id").agg(F.count("*").alias("n_leaves"), F.min("leaf").alias("first_leaf"))
+    found = R.nearest_summary(encoded, leaves.where("c_custkey % 97 <> 0").drop("c_custkey"), leaves.where("c_custkey % 97 = 0").drop("c_custkey"))
+    return found.select("node_id", "anc_id", "n_leaves", "first_leaf")
 
 
 def lineage_functions(spark, sf_dir):

@@ -247,3 +247,16 @@ def test_route_and_reconcile(spark):
 def test_rule_6_keeps_what_agrees(spark):
     pairs = spark.createDataFrame([("q", ["d__B", "p__P", "c__C", "o__", "f__", "g__", "s__"], ["d__B", "p__Z", "c__", "o__", "f__", "g__", "s__"])], "query string, backbone array<string>, subtree array<string>")
     assert [(r["rule"], ";".join(r["taxa"])) for r in C.merge_lineages(pairs, ["c__Q"], ["p__Q"]).collect()] == [(6, "d__B;p__;c__;o__;f__;g__;s__")]
+
+
+def test_nearest_marked_leaves_make_no_pairs(spark):
+    """Sums by ancestor agree with the pairs, under a star of many leaves too."""
+    rows = [(1, "r", None, None)] + [(1, c, "r", 1.0) for c in "ab"] + [(1, f"a{i:02}", "a", 1.0) for i in range(30)] + [(1, f"b{i}", "b", 1.0) for i in range(3)]
+    encoded = R.encode(spark.createDataFrame(rows, "tree_id int, node_id string, parent_id string, edge_length double"))
+    leaves = encoded.where("is_leaf").select("tree_id", "node_id")
+    marked = leaves.where("node_id IN ('a05', 'a07', 'a11')")
+    got = {(x["node_id"], x["anc_id"], x["n_leaves"], x["first_leaf"]) for x in R.nearest_summary(encoded, leaves, marked).collect()}
+    pairs = {}
+    for x in R.nearest_marked(encoded, leaves, marked).collect():
+        pairs.setdefault((x["node_id"], x["anc_id"]), []).append(x["leaf"])
+    assert got == {(n, a, len(found), min(found)) for (n, a), found in pairs.items()} and len(got) == 33
