@@ -2,7 +2,8 @@
 
 Exact repeats meet by hash. Near repeats are found by segments (Li et al., "Pass-Join: A Partition-based Method for
 Similarity Joins", 2011): of the ``edits`` + 1 segments of a line one stays untouched by ``edits`` edits, so probes
-with the substrings that length and shift admit meet every pair. Candidates are verified by Hyyroe's banded
+with the substrings that length and shift admit meet every pair. Most lines share no segment with another one and leave
+first; the others meet where their letter counts allow it. Candidates are verified by Hyyroe's banded
 bit-parallel edit distance (2003).
 """
 
@@ -18,8 +19,13 @@ EDITS = 2
 LEAST_NEAR = 24
 #: Distinct lines that may share a segment before its pairs must share a segment of what is left of them, too.
 HOT_LINES = 32
-#: Letters whose counts tell lines apart that share such a segment.
-LETTERS = "etaonirshdlu"
+#: Letters whose counts tell lines apart that share a segment, 12 to a number.
+LETTERS = "etaonirshdlucmfwygpbvk ."
+
+
+def _base(n: Column, edits: int) -> Column:
+    """Smallest length of the lengths that are cut like ``n``: 4 of them (8 for more edits) below 64, else 16."""
+    return n - F.when(n < 64, n % (4 if edits <= 4 else 8)).otherwise(n % 16)
 
 
 def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
@@ -29,39 +35,69 @@ def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
     return base * (i - 1) + F.greatest(F.lit(0), i - 1 - parts + extra) + 1, base + F.when(i > parts - extra, 1).otherwise(0)
 
 
+def _choices(edits: int, probe: bool, lower: int) -> list[Column]:
+    """Segments and shifts that one line has keys for. Of ``edits`` + 1 segments some i-th is untouched with at most i - 1
+    edits before it and as many as there are segments after it behind it, so the former half is counted from the start
+    of the line and the latter from its end: how much longer the probe is then makes no difference to the place."""
+    chosen = []
+    for i in range(1, edits + 2):
+        left, right = i - 1, edits + 1 - i
+        near, far = (right, left) if left > right else (left, right)
+        # the longer line is the probe: counted from the start it may be ahead by more than it may be behind
+        low, high = (-near, min(near, far + edits)) if left <= right else (max(-near, -far - edits), near)
+        chosen += [F.struct(F.lit(lower).alias("lower"), F.lit(i).alias("i"), F.lit(left > right).alias("behind"), F.lit(shift).alias("shift")) for shift in (range(low, high + 1) if probe else (0,))]
+    return chosen
+
+
 def _keyed(lines: DataFrame, edits: int, name: str, probe: bool, whole: bool = False) -> DataFrame:
     """(hash as ``name``, key) of every segment of every line, or of every substring that can equal a segment of a line
     at most ``edits`` shorter (multi-match-aware).
 
-    Each row takes one choice of length, segment and shift from a literal table, which keeps the generated code small
-    enough to be compiled. ``lines`` has h1, line and size; where it has a key ``under``, that is a part of the new one,
-    and its ``profile`` comes along. With ``whole``, so does what a line has besides the segment, as ``rest``.
+    Lines of nearly equal lengths are cut alike (``_base``), with what is over left out between the segments that are
+    counted from the start and from the end, so a probe needs more keys only where shorter lines are cut otherwise. Each
+    row takes one choice of segment and shift from a literal table, which keeps the generated code small enough to be
+    compiled. ``lines`` has h1, line and size; where it has a key ``under``, that is a part of the new one, and where it
+    has a ``profile``, that and ``size`` come along. With ``whole``, so does what a line has besides the segment, as ``rest``.
     """
-    chosen = []
-    for shorter in range(edits + 1 if probe else 1):
-        for i in range(1, edits + 2):
-            left, right = i - 1, edits + 1 - i
-            shifts = range(max(-left, shorter - right), min(left, shorter + right) + 1) if probe else (0,)
-            chosen += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in shifts]
-    under, seen = ([c for c in (column,) if c in lines.columns] for column in ("under", "profile"))
-    each = lines.select(F.col("h1").alias(name), "line", "size", *under, *seen, F.explode(F.array(*chosen)).alias("c"))
-    each = each.select(name, "line", "size", *under, *seen, (F.col("size") - F.col("c.shorter")).alias("n"), F.col("c.i").alias("i"), F.col("c.shift").alias("shift"))
-    start, long = _segment(F.col("n"), F.col("i"), edits)
-    placed = each.select(name, "line", "size", *under, *seen, "n", "i", (start + F.col("shift")).alias("start"), long.alias("long"))
+    own, lower = _base(F.col("size"), edits), _base(F.col("size") - edits, edits)
+    chosen = F.array(*_choices(edits, probe, 0))
+    if probe:
+        chosen = F.when(own == lower, chosen).otherwise(F.array(*_choices(edits, probe, 0), *_choices(edits, probe, 1)))
+    under, seen = [c for c in ("under",) if c in lines.columns], ["size", "profile"] if "profile" in lines.columns else []
+    held = ["line", *under, *(seen or ["size"])]
+    each = lines.select(F.col("h1").alias(name), *held, F.explode(chosen).alias("c"))
+    each = each.withColumn("n", F.when(F.col("c.lower") == 1, lower).otherwise(own))
+    start, long = _segment(F.col("n"), F.col("c.i"), edits)
+    start = start + F.col("c.shift") + F.when(F.col("c.behind"), F.col("size") - F.col("n")).otherwise(0)
+    placed = each.select(name, *held, "n", F.col("c.i").alias("i"), start.alias("start"), long.alias("long"))
     rest = F.concat(F.col("line").substr(F.lit(1), F.col("start") - 1), F.col("line").substr(F.col("start") + F.col("long"), F.col("size")))
     return placed.where("start >= 1 AND start + long - 1 <= size").select(
         name, F.xxhash64(*under, "n", "i", F.col("line").substr(F.col("start"), F.col("long"))).alias("key"), *[rest.alias("rest")] * whole, *(F.col(c).alias(f"{c}_{name}") for c in seen)
     )
 
 
+def _sharing(lines: DataFrame, edits: int) -> DataFrame:
+    """The lines that share a key with another one, with their letter counts. All later steps are over these alone.
+
+    Each probe asks whether there is another line, so no pair is made here, however many lines share a key.
+    """
+    index = _keyed(lines, edits, "b", False)
+    asking = stored(_keyed(lines, edits, "a", True).join(index.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")), "left_semi"))
+    asked = index.join(sized(asking.select("key").distinct()), "key", "left_semi")
+    needed = sized(asking.select(F.col("a").alias("h1")).unionAll(asked.select("b")).distinct())
+    return stored(lines.join(needed, "h1", "left_semi").withColumn("profile", profile(F.col("line"))))
+
+
 def _met(lines: DataFrame, edits: int) -> DataFrame:
-    """Pairs of hashes of lines that share a key, each once.
+    """Pairs of hashes of lines that share a key and whose lengths and letter counts allow it, each once.
 
     A segment that more than ``HOT_LINES`` lines share would make a candidate of any two of them. If they are within
     the edits around it, so is what is left of them without it, which therefore shares a segment again: such lines meet
     by keys of both, and so on while those are hot, so that boilerplate makes no pairs by itself. Of remainders of a
-    few letters all meet. Where lines are many, those whose letter counts differ by more than the edits explain are no pair.
+    few letters all meet.
     """
+    if "profile" not in lines.columns:
+        lines = lines.withColumn("profile", profile(F.col("line")))
     probes, index, pairs = lines, lines, None
     while True:
         keyed = _keyed(index, edits, "b", False)
@@ -69,8 +105,8 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
         hot = stored(_keyed(cut, edits, "b", False).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LINES).select("key"))
         last = hot.isEmpty()
         met = _keyed(probes, edits, "a", True).join(keyed if last else keyed.join(hot, "key", "left_anti"), "key").where("a <> b")
-        if "profile" in probes.columns:
-            met = met.where(_profiles_agree(F.col("profile_a"), F.col("profile_b"), edits))
+        more = F.col("size_a") - F.col("size_b")
+        met = met.where(more.between(0, edits) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), 2 * edits - more))
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if last:
             return (met if pairs is None else pairs.unionAll(met)).distinct()
@@ -83,27 +119,31 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
 def _rests(lines: DataFrame, hot: DataFrame, edits: int, probe: bool) -> DataFrame:
     """What lines have besides a hot segment, under its key, with their letter counts; lines to be keyed again."""
     shared = _keyed(lines, edits, "h1", probe, True).join(hot, "key", "left_semi")
-    counts = F.col("profile_h1") if "profile" in lines.columns else profile(F.col("rest"))
-    return stored(shared.select("h1", F.col("key").alias("under"), F.col("rest").alias("line"), F.length("rest").alias("size"), counts.alias("profile")))
+    return stored(shared.select("h1", F.col("key").alias("under"), F.col("rest").alias("line"), F.length("rest").alias("size"), F.col("profile_h1").alias("profile")))
 
 
 def profile(line: Column) -> Column:
     """Counts of frequent letters modulo 32, five bits each."""
     size = F.octet_length(line)
-    bits = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31).cast("long")), 5 * k))
-    return bits
-
-
-def _profiles_agree(a: Column, b: Column, edits: int) -> Column:
-    """Whether the letter counts differ by at most two an edit in sum; no pair within the distance fails."""
+    numbers = []
+    for letters in (LETTERS[:12], LETTERS[12:]):
+        bits = F.lit(0).cast("long")
+        for k, letter in enumerate(letters):
+            count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+            bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(31).cast("long")), 5 * k))
+        numbers.append(bits)
+    return F.struct(*(x.alias(f"p{k}") for k, x in enumerate(numbers)))
+
+
+def _profiles_agree(a: Column, b: Column, most: Column) -> Column:
+    """Whether the letter counts differ by at most ``most`` in sum. An edit changes one count by one, or replaces a letter
+    and changes two; of lines that differ in length by d, d edits are of the first kind. So no pair within the distance fails."""
     total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        d = (F.shiftright(a, 5 * k) - F.shiftright(b, 5 * k)).bitwiseAND(F.lit(31).cast("long"))
-        total = total + F.least(d, F.lit(32).cast("long") - d)
-    return total <= 2 * edits
+    for part in ("p0", "p1"):
+        for k in range(12):
+            d = (F.shiftright(a[part], 5 * k) - F.shiftright(b[part], 5 * k)).bitwiseAND(F.lit(31).cast("long"))
+            total = total + F.least(d, F.lit(32).cast("long") - d)
+    return total <= most
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -224,9 +264,10 @@ def edit_join(lines: DataFrame, edits: int = EDITS, least: int = LEAST_NEAR) ->
     if least <= 2 * (edits + 1) or edits > 7:
         raise ValueError("lines this short have segments of a letter, or the band is wider than a byte")
     long = stored(lines.where(F.col("size") >= least))
-    pairs = checkpointed(_met(long, edits))
+    shared = _sharing(long, edits)
+    pairs = checkpointed(_met(shared, edits))
     needed = sized(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
-    texts = checkpointed(long.join(needed, "h1", "left_semi").dropDuplicates(["h1", "h2"]))
+    texts = checkpointed(shared.join(needed, "h1", "left_semi").dropDuplicates(["h1", "h2"]))
     side = lambda h: texts.select(F.col("h1").alias(h), F.struct("h1", "h2", "first", "line").alias(f"of_{h}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     a, b = F.col("of_a.line"), F.col("of_b.line")

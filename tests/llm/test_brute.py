@@ -219,6 +219,36 @@ def test_lines_that_share_a_segment_make_no_pairs(spark):
     assert found == {5000: 1, 5001: 1}
 
 
+def test_near_copies_make_few_pairs(spark):
+    """Copies with four letters of their own at places of their own share segments, and none is within two edits of another."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    whole = "".join(rng.choice(letters + "    ") for _ in range(360))
+    rows = [whole[:i] + "".join(rng.sample(letters, 4)) + whole[i:] for i in rng.choices(range(1, 359), k=120)]
+    rows += [rows[3][:200] + rows[3][202:], "#" + rows[5] + "#"]
+    held = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(rows)], "h1 long, line string, size int")
+    pairs = {(r["a"], r["b"]) for r in lines._met(held, lines.EDITS).collect()}
+    assert {(3, 120), (5, 121)} <= pairs and len(pairs) < 1500  # of 7,381
+
+
+def test_edits_anywhere_in_lines_of_any_length(spark):
+    """Two edits at any places of lines that are cut like the shorter one or otherwise, the ends included."""
+    rng = random.Random(22)
+    rows, links = [], set()
+    for n in [*range(24, 84), 127, 128, 129, 143, 144, 145]:
+        for kinds in ("++", "--", "+-", "==", "+=", "-="):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip().ljust(n, "z")
+            other = line
+            for kind in kinds:
+                i = rng.choice([0, len(other) - 1, rng.randrange(len(other))])
+                other = other[:i] + {"+": "A" + other[i : i + 1], "-": "", "=": "B"}[kind] + other[i + 1 :]
+            links.add((len(rows), len(rows) + 1))
+            rows += [line, other]
+    held = spark.createDataFrame([(i, i, t, len(t), (i, 0, 0)) for i, t in enumerate(rows)], "h1 long, h2 long, line string, size int, first struct<doc_id: long, th: long, pos: int>")
+    found = {tuple(sorted((r["x"]["h1"], r["y"]["h1"]))) for r in lines.edit_join(held, least=lines.LEAST_NEAR).collect()}
+    assert found == {(a, b) for a, b in links if min(len(rows[a]), len(rows[b])) >= lines.LEAST_NEAR}
+
+
 def plain_units(text: str | None) -> list[tuple[int, list[bytes]]]:
     """(first byte, words) of every sentence with words, long ones cut at the least hash of any ten words; by single steps."""
     import re
