@@ -1,4 +1,4 @@
-"""Trees by intervals: pre-order numbers from an Euler tour, sums over paths and over subtrees, in linear space.
+"""Trees by intervals: pre-order numbers by levels or from an Euler tour, sums over paths and over subtrees, in linear space.
 
 ``tree.encode`` keeps every node's path, which is best for trees of moderate depth. Here a node has two numbers, its
 place in pre-order and that of the last node below it, so that a subtree is a range; a tree may be as deep as it has nodes.
@@ -6,6 +6,8 @@ place in pre-order and that of the last node below it, so that a subtree is a ra
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .lineage import written
 from .scan import running
 
 KEY = ["tree_id", "node_id"]
+#: Levels that are counted one by one; a tour of more than a million steps takes as many rounds over all of them.
+LEVELS = 20
 
 
 def jumps(rows: DataFrame, key: str, up: str, sums: list[str]) -> DataFrame:
@@ -37,11 +41,39 @@ def jumps(rows: DataFrame, key: str, up: str, sums: list[str]) -> DataFrame:
 def numbered(nodes: DataFrame) -> DataFrame:
     """Add ``pre`` (from 0), ``last``, ``depth``, ``dist_root`` and ``is_leaf`` to a node table.
 
-    The tour goes down into every node and up out of it, siblings in the order of ``ord`` where there is one and of
-    their ids; its steps are ranked by doubling along their successors. A node table of several trees is one pass.
+    Siblings follow in the order of ``ord`` where there is one and of their ids. Trees of at most ``LEVELS`` levels are
+    counted level by level, deeper ones by a tour. A node table of several trees is one pass.
     """
     order = ["ord", "node_id"] if "ord" in nodes.columns else ["node_id"]
     rows = nodes.select(*KEY, "parent_id", *([c for c in order if c != "node_id"]), F.coalesce("edge_length", F.lit(0.0)).alias("edge"))
+    ways = written(jumps(rows.select(*KEY, "parent_id", F.when(F.col("parent_id").isNull(), F.lit(0.0)).otherwise(F.col("edge")).alias("dist_root"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")), "node_id", "parent_id", ["dist_root", "depth"]))
+    deepest = ways.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    placed = _by_levels(rows, ways, order, deepest) if deepest <= LEVELS else _by_tour(rows, ways, order)
+    return written(nodes.join(placed.select(*KEY, "pre", (F.col("pre") + F.col("inside") - 1).alias("last"), "depth", "dist_root", (F.col("inside") == 1).alias("is_leaf")), KEY))
+
+
+def _by_levels(rows: DataFrame, ways: DataFrame, order: list[str], deepest: int) -> DataFrame:
+    """Nodes of every subtree from the deepest level up, then ``pre``: a node comes after all that its way passes on the left.
+
+    Every row is counted once, at its own level, so the work grows with the rows and not with their logarithm.
+    """
+    held = written(rows.select(*KEY, "parent_id", *[c for c in order if c != "node_id"]).join(ways.select(*KEY, "depth"), KEY))
+    below, levels = None, []
+    for depth in range(deepest, -1, -1):
+        level = held.where(F.col("depth") == depth)
+        level = level.withColumn("inside", F.lit(1).cast("long")) if below is None else level.join(below, KEY, "left").withColumn("inside", 1 + F.coalesce("below", F.lit(0))).drop("below")
+        level = written(level)
+        below = level.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.sum("inside").alias("below"))
+        levels.append(level)
+    sizes = reduce(DataFrame.unionAll, levels)
+    before = F.sum("inside").over(Window.partitionBy("tree_id", "parent_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    step = F.when(F.col("parent_id").isNull(), F.lit(0).cast("long")).otherwise(1 + F.coalesce(before, F.lit(0)))
+    pre = jumps(sizes.select(*KEY, "parent_id", "inside", step.alias("pre")), "node_id", "parent_id", ["pre"])
+    return pre.join(sizes.select(*KEY, "inside"), KEY).join(ways, KEY)
+
+
+def _by_tour(rows: DataFrame, ways: DataFrame, order: list[str]) -> DataFrame:
+    """The same for trees of any depth: the steps of a tour down into every node and up out of it, ranked by doubling."""
     ahead = Window.partitionBy("tree_id", "parent_id").orderBy(*order)
     kids = rows.where("parent_id IS NOT NULL").select("*", F.lead("node_id").over(ahead).alias("next"), F.lag("node_id").over(ahead).alias("before"))
     first = kids.where("before IS NULL").select("tree_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("first"))
@@ -60,12 +92,11 @@ def numbered(nodes: DataFrame) -> DataFrame:
     whole = ranked.groupBy("tree_id").agg(F.max("left").alias("whole"))
     # what is left at the way in and at the way out tells how many steps, and so nodes, lie between
     spans = ranked.groupBy(*KEY).agg(F.max(F.when(F.col("side") == 0, F.col("left"))).alias("enter"), F.max(F.when(F.col("side") == 1, F.col("left"))).alias("leave"))
-    ways = jumps(rows.select(*KEY, "parent_id", F.when(F.col("parent_id").isNull(), F.lit(0.0)).otherwise(F.col("edge")).alias("dist_root"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth")), "node_id", "parent_id", ["dist_root", "depth"])
     entered = spans.join(F.broadcast(whole) if whole.limit(10_001).count() <= 10_000 else whole, "tree_id").join(ways, KEY)
     # steps before the way in are entries or exits; of s steps at depth d, (s + d) / 2 are entries
     pre = ((F.col("whole") - F.col("enter") + F.col("depth")) / 2).cast("long")
     inside = ((F.col("enter") - F.col("leave") + 1) / 2).cast("long")
-    return written(nodes.join(entered.select(*KEY, pre.alias("pre"), (pre + inside - 1).alias("last"), "depth", "dist_root", (inside == 1).alias("is_leaf")), KEY))
+    return entered.select(*KEY, pre.alias("pre"), inside.alias("inside"), "depth", "dist_root")
 
 
 def path_sums(nodes: DataFrame, **values) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import nested
 from .lineage import written
+from .scan import running
 
 KEY = nested.KEY
 
@@ -50,13 +51,9 @@ def _zero(x):
     return F.when(x <= 0, 1).otherwise(0)
 
 
-def divergence_over_rootings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(tree_id, rooting, node_id, red): divergence of every node outside of each rooting's clade.
-
-    ``roots`` (tree_id, node_id) are the nodes whose edges take the root in their middle. Nodes below the rooting and
-    the old root have no row, leaves have 1. A rooting without leaves on the other side has no rows, nor has one at
-    the old root. One row of the result is one pair, so no rooting is a group of its own.
-    """
+def _spans(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered nodes, nodes with their sums of factors, and the ways of every rooting: (tree_id, rooting, lo, hi) are
+    nodes by ``pre`` that it sees through one turn, ``way_log`` and ``way_zero`` what all of them have in common."""
     placed = nested.numbered(nodes)
     said = written(messages(placed).join(placed.select(*KEY, "pre", "last", "is_leaf"), KEY))
     down = _factor(F.col("edge"), F.col("sum_below"), F.col("n_below"))
@@ -77,11 +74,45 @@ def divergence_over_rootings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
         "tree_id", "rooting", (F.col("r_log") - F.col("m_up_log") - F.col("m_down_log")).alias("way_log"), (F.col("r_zero") - F.col("m_up_zero") - F.col("m_down_zero")).alias("way_zero"),
         F.explode(F.array(side(F.col("m_pre"), F.col("c_pre") - 1), side(F.col("c_last") + 1, F.col("m_last")))).alias("s"),
     ).select("tree_id", "rooting", "way_log", "way_zero", "s.*")
+    return placed, full, spans
+
+
+def _red(way_log, way_zero):
+    return F.when(F.col("is_leaf") | (way_zero + F.col("down_zero") > 0), 1.0).otherwise(1 - F.exp(way_log + F.col("down_log")))
+
+
+def divergence_over_rootings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tree_id, rooting, node_id, red): divergence of every node outside of each rooting's clade.
+
+    ``roots`` (tree_id, node_id) are the nodes whose edges take the root in their middle. Nodes below the rooting and
+    the old root have no row, leaves have 1. A rooting without leaves on the other side has no rows, nor has one at
+    the old root. One row of the result is one pair, so no rooting is a group of its own.
+    """
+    placed, full, spans = _spans(nodes, roots)
     met = nested.descendants(placed, spans).withColumnRenamed("desc_id", "node_id").join(full.select(*KEY, "parent_id", "is_leaf", "down_log", "down_zero"), KEY).where("parent_id IS NOT NULL")
-    red = F.when(F.col("is_leaf") | (F.col("way_zero") + F.col("down_zero") > 0), 1.0).otherwise(1 - F.exp(F.col("way_log") + F.col("down_log")))
-    return met.select("tree_id", "rooting", "node_id", red.alias("red"))
+    return met.select("tree_id", "rooting", "node_id", _red(F.col("way_log"), F.col("way_zero")).alias("red"))
 
 
 def median_divergence(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(tree_id, node_id, n_rootings, red): the median of every node's divergence over the rootings that see it."""
-    return divergence_over_rootings(nodes, roots).groupBy(*KEY).agg(F.count("*").alias("n_rootings"), F.median("red").alias("red"))
+    """(tree_id, node_id, n_rootings, red): the median of every node's divergence over the rootings that see it.
+
+    Between two ends of spans all nodes are seen by the same ways, so the ways are gathered once for such a stretch and
+    every node takes those of its own, instead of one row for every node and rooting. Leaves only need their number.
+    """
+    placed, full, spans = _spans(nodes, roots)
+    spans = written(spans.where("lo <= hi"))
+    ends = spans.select("tree_id", F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("at")).distinct()
+    ends = written(running(ends.withColumn("one", F.lit(1).cast("long")), ["tree_id"], ["at"], k=("sum", "one")).select("tree_id", "at", "k"))
+    # every span as the stretches from its first end to its last
+    ranked = spans.join(ends.select("tree_id", F.col("at").alias("lo"), F.col("k").alias("from")), ["tree_id", "lo"])
+    ranked = ranked.join(ends.select("tree_id", (F.col("at") - 1).alias("hi"), (F.col("k") - 1).alias("to")), ["tree_id", "hi"])
+    over = ranked.select("tree_id", "way_log", "way_zero", F.explode(F.sequence("from", "to")).alias("k"))
+    ways = written(over.groupBy("tree_id", "k").agg(F.count("*").alias("n_rootings"), F.collect_list(F.struct("way_log", "way_zero")).alias("ways")))
+    cells = ends.select("tree_id", "k", F.col("at").alias("lo")).join(ends.select("tree_id", (F.col("k") - 1).alias("k"), (F.col("at") - 1).alias("hi")), ["tree_id", "k"])
+    cells = cells.join(ways.select("tree_id", "k", "n_rootings"), ["tree_id", "k"])
+    seen = nested.descendants(placed, cells).withColumnRenamed("desc_id", "node_id").join(full.select(*KEY, "parent_id", "is_leaf", "down_log", "down_zero"), KEY).where("parent_id IS NOT NULL")
+    leaves = seen.where("is_leaf").select(*KEY, "n_rootings", F.lit(1.0).alias("red"))
+    inner = seen.where("NOT is_leaf").join(ways.select("tree_id", "k", "ways"), ["tree_id", "k"])
+    reds = inner.select(*KEY, "n_rootings", F.array_sort(F.transform("ways", lambda w: _red(w["way_log"], w["way_zero"]))).alias("reds"))
+    middle = lambda k: F.get("reds", F.floor((F.col("n_rootings") - k) / 2).cast("int"))
+    return leaves.unionAll(reds.select(*KEY, "n_rootings", ((middle(1) + middle(0)) / 2).alias("red")))

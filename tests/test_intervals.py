@@ -60,6 +60,21 @@ def test_ladders_and_stars(spark):
     assert S.ancestors(placed, spark.createDataFrame([(1, "x9"), (2, "x9")], "tree_id int, node_id string")).count() == 12
 
 
+def test_few_levels_take_few_rounds(spark, monkeypatch):
+    """Trees of few levels are numbered as by the tour, and the rounds do not grow with the nodes."""
+    star = [(3, f"x{i}", "x0" if i else None, 2.0, None) for i in range(2000)]
+    trees = spark.createDataFrame([(k, *r) for k in (1, 2) for r in random_tree(k, 30)] + star, SCHEMA)
+    rounds, write = [], S.written
+    monkeypatch.setattr(S, "written", lambda df: rounds.append(1) or write(df))
+    S.numbered(spark.createDataFrame(star, SCHEMA))
+    assert len(rounds) < 13  # a tour of 4,000 steps takes 12 rounds besides
+    both = []
+    for levels in (100, -1):
+        monkeypatch.setattr(S, "LEVELS", levels, raising=False)
+        both.append({tuple(r) for r in S.numbered(trees).drop("taxon").collect()})
+    assert both[0] == both[1] and len(both[0]) == trees.count()
+
+
 def test_cycles_fail(spark):
     with pytest.raises(ValueError, match="cycle"):
         S.jumps(tree(spark, [("a", "b", 1.0, None), ("b", "a", 1.0, None)]).withColumn("one", F.lit(1)), "node_id", "parent_id", ["one"])
