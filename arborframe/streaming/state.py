@@ -7,6 +7,7 @@ that was under way is written over.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ SETTINGS = {
 }
 #: Parts that the rows of one key are dealt to, so that a frequent key is more than one task's work.
 PARTS = 8
+#: States that the parts of all keys are dealt to; every one that a batch touches is a call, so calls do not grow with the keys.
+BUCKETS = 1024
 
 
 def _run(rows: DataFrame, folder: str, mode: str, write: Callable[[DataFrame, int], None]) -> None:
@@ -36,20 +39,30 @@ def _kept(spark: SparkSession, folder: str, schema: StructType, *parts: str) ->
 
 
 class Totals(StatefulProcessor):
-    """Count and sum of a key's rows since its state was last forgotten; ``ttl`` in milliseconds after the last update."""
+    """Count and sum of the rows of every key and part of a bucket since these were last forgotten; ``ttl`` in milliseconds
+    after the last update of each. A bucket is one state, so a batch reads and writes it once and not for every key."""
 
     def __init__(self, ttl: int) -> None:
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "n long, millionths long", self.ttl)
+        self.held = handle.getValueState("held", "entries string", self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        n, total = self.held.get() or (0, 0)
-        for part in rows:
-            n, total = n + len(part), total + int(part["millionths"].sum())
-        self.held.update((n, total))
-        yield pd.DataFrame({"key": [key[0]], "part": [key[1]], "n": [n], "millionths": [total]})
+        now, before = timerValues.getCurrentProcessingTimeInMs(), self.held.get()
+        held = {(k, part): (n, total, seen) for k, part, n, total, seen in (json.loads(before[0]) if before else ()) if seen + self.ttl > now}
+        changed = {}
+        for some in rows:
+            some["known"] = some["key"].notna()
+            some["key"] = some["key"].fillna("")
+            for k, known, part, n, total in some.groupby(["key", "known", "part"], sort=False)["millionths"].agg(["size", "sum"]).reset_index().itertuples(index=False):
+                at = (k if known else None, int(part))
+                more = changed.get(at) or held.get(at, (0, 0))
+                changed[at] = (more[0] + int(n), more[1] + int(total), now)
+        held |= changed
+        self.held.update((json.dumps([[*at, *values] for at, values in held.items()]),))
+        columns = zip(*((*at, *values[:2]) for at, values in changed.items()), strict=True)
+        yield pd.DataFrame(dict(zip(("key", "part", "n", "millionths"), map(list, columns), strict=True)))
 
     def close(self) -> None:
         pass
@@ -60,18 +73,20 @@ def totals(events: DataFrame, key: str, folder: str, ttl: int, parts: int = PART
 
     The state of a key, dealt to ``parts`` by a hash of the row, is forgotten ``ttl`` milliseconds after the part's last
     row, so that keys that stay away do not fill the state store; a part that returns begins anew, and what it last
-    showed before is no longer counted. A null key is a key.
+    showed before is no longer counted. A null key is a key. Parts of keys share the states of ``BUCKETS`` buckets, each
+    with its own time; what is forgotten leaves a bucket when rows come to it.
     """
     spark = events.sparkSession
     dealt = events.select(
         F.col(key).cast("string").alias("key"), F.pmod(F.xxhash64(*events.columns), F.lit(parts)).cast("int").alias("part"),
         F.coalesce((F.col("value").cast("decimal(18,6)") * 1000000).cast("long"), F.lit(0)).alias("millionths"),
     )
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(BUCKETS)).cast("int"))
     before = {name: spark.conf.get(name, None) for name in SETTINGS}
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     try:
-        updates = dealt.groupBy("key", "part").transformWithStateInPandas(Totals(ttl), "key string, part int, n long, millionths long", "Update", "ProcessingTime")
+        updates = dealt.groupBy("bucket").transformWithStateInPandas(Totals(ttl), "key string, part int, n long, millionths long", "Update", "ProcessingTime")
         _run(updates, folder, "update", lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={k}"))
     finally:
         for name, value in before.items():

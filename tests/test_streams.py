@@ -43,6 +43,14 @@ def test_totals_are_forgotten(feed, tmp_path):
     assert {r["user_id"]: (r["n"], float(r["total"])) for r in got.collect()} == {1: (1, 2.0), 2: (1, 7.0)}
 
 
+def test_totals_of_many_keys_share_states(feed, tmp_path, monkeypatch):
+    """Keys that share a bucket are counted on their own over batches, the null key too."""
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    for k in range(2):
+        got = state.totals(feed([_event(1000 * k + i, i % 24, i % 50 or None, 0.5) for i in range(200)]), "user_id", f"{tmp_path}/out", ttl=3_600_000)
+    assert {r["user_id"]: (r["n"], float(r["total"])) for r in got.collect()} == {i or None: (8, 4.0) for i in range(50)}
+
+
 def test_join_over_batches(feed, tmp_path):
     """Pairs meet across batches on either side, at both ends of the span; null keys and times meet nothing."""
     first = [[_event(1, 0, 1), _event(2, 5, 1), _event(3, 1, None), _event(4, None, 1)], [_event(5, 20, 1), _event(6, 20, 2)]]
