@@ -24,8 +24,8 @@ LETTERS = "etaonirshdlucmfwygpbvk ."
 
 
 def _base(n: Column, edits: int) -> Column:
-    """Smallest length of the lengths that are cut like ``n``: 4 of them (8 for more edits) below 64, else 16."""
-    return n - F.when(n < 64, n % (4 if edits <= 4 else 8)).otherwise(n % 16)
+    """Smallest length of the lengths that are cut like ``n``: 4 of them (2 for one edit, 8 for more) below 64, else 16."""
+    return n - F.when(n < 64, n % (2 if edits == 1 else 4 if edits <= 4 else 8)).otherwise(n % 16)
 
 
 def _segment(n: Column, i: Column, edits: int) -> tuple[Column, Column]:
@@ -56,23 +56,23 @@ def _keyed(lines: DataFrame, edits: int, name: str, probe: bool, whole: bool = F
     Lines of nearly equal lengths are cut alike (``_base``), with what is over left out between the segments that are
     counted from the start and from the end, so a probe needs more keys only where shorter lines are cut otherwise. Each
     row takes one choice of segment and shift from a literal table, which keeps the generated code small enough to be
-    compiled. ``lines`` has h1, line and size; where it has a key ``under``, that is a part of the new one, and where it
-    has a ``profile``, that and ``size`` come along. With ``whole``, so does what a line has besides the segment, as ``rest``.
+    compiled. ``lines`` has h1, line and size; where it has a ``profile``, that and ``size`` come along. With ``whole``, so
+    does what a line has besides the segment, as ``rest``, and whether this is a segment of the line itself, as ``own``.
     """
     own, lower = _base(F.col("size"), edits), _base(F.col("size") - edits, edits)
     chosen = F.array(*_choices(edits, probe, 0))
     if probe:
         chosen = F.when(own == lower, chosen).otherwise(F.array(*_choices(edits, probe, 0), *_choices(edits, probe, 1)))
-    under, seen = [c for c in ("under",) if c in lines.columns], ["size", "profile"] if "profile" in lines.columns else []
-    held = ["line", *under, *(seen or ["size"])]
+    seen = ["size", "profile"] if "profile" in lines.columns else []
+    held = ["line", *(seen or ["size"])]
     each = lines.select(F.col("h1").alias(name), *held, F.explode(chosen).alias("c"))
     each = each.withColumn("n", F.when(F.col("c.lower") == 1, lower).otherwise(own))
     start, long = _segment(F.col("n"), F.col("c.i"), edits)
     start = start + F.col("c.shift") + F.when(F.col("c.behind"), F.col("size") - F.col("n")).otherwise(0)
-    placed = each.select(name, *held, "n", F.col("c.i").alias("i"), start.alias("start"), long.alias("long"))
+    placed = each.select(name, *held, "n", F.col("c.i").alias("i"), start.alias("start"), long.alias("long"), F.expr("c.lower = 0 AND c.shift = 0").alias("own"))
     rest = F.concat(F.col("line").substr(F.lit(1), F.col("start") - 1), F.col("line").substr(F.col("start") + F.col("long"), F.col("size")))
     return placed.where("start >= 1 AND start + long - 1 <= size").select(
-        name, F.xxhash64(*under, "n", "i", F.col("line").substr(F.col("start"), F.col("long"))).alias("key"), *[rest.alias("rest")] * whole, *(F.col(c).alias(f"{c}_{name}") for c in seen)
+        name, F.xxhash64("n", "i", F.col("line").substr(F.col("start"), F.col("long"))).alias("key"), *[rest.alias("rest"), "own"] * whole, *(F.col(c).alias(f"{c}_{name}") for c in seen)
     )
 
 
@@ -92,34 +92,109 @@ def _met(lines: DataFrame, edits: int) -> DataFrame:
     """Pairs of hashes of lines that share a key and whose lengths and letter counts allow it, each once.
 
     A segment that more than ``HOT_LINES`` lines share would make a candidate of any two of them. If they are within
-    the edits around it, so is what is left of them without it, which therefore shares a segment again: such lines meet
-    by keys of both, and so on while those are hot, so that boilerplate makes no pairs by itself. Of remainders of a
-    few letters all meet.
+    the edits around it, so is what is left of them without it, by which such lines meet (``_near``), so that boilerplate
+    makes no pairs by itself.
     """
     if "profile" not in lines.columns:
         lines = lines.withColumn("profile", profile(F.col("line")))
-    probes, index, pairs = lines, lines, None
+    keyed = _keyed(lines, edits, "b", False)
+    hot = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LINES).select("key"))
+    none = hot.isEmpty()
+    met = _allowed(_keyed(lines, edits, "a", True).join(keyed if none else keyed.join(hot, "key", "left_anti"), "key"), edits)
+    each = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if none:
+        return each(met)
+    shared = _keyed(lines, edits, "h1", True, True).join(hot, "key", "left_semi")
+    rests = shared.select("h1", F.col("key").alias("under"), F.col("rest").alias("line"), F.length("rest").alias("size"), F.col("profile_h1").alias("profile"), "own")
+    return each(met.unionAll(_near(rests, edits)))
+
+
+def _allowed(met: DataFrame, edits: int, less: int = 0) -> DataFrame:
+    """(a, b) of which the probe a is at most ``edits`` longer or ``less`` shorter, with letter counts alike."""
+    more = F.col("size_a") - F.col("size_b")
+    return met.where("a <> b").where(more.between(-less, edits) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), 2 * edits - F.abs(more))).select("a", "b")
+
+
+def _near(rows: DataFrame, edits: int, less: int = 0) -> DataFrame:
+    """(a, b) of probes and what they look for, if their strings under one key may be within ``edits`` edits and the probe
+    is at most ``less`` shorter; none that are is missed.
+
+    ``rows`` has h1, under, line, size, profile and ``own``, which marks the rows that probes look for; all rows are
+    probes. Where more than ``HOT_LINES`` such are under a key, its lines are halved: two of them agree in their first half
+    and meet by the rest under its key, or in their last half, or have edits in both, so fewer than ``edits`` in each
+    (``_on_both_sides``). A line that has its edits in one place stays on one way down, so what there is at a level does
+    not grow with the depth. Strings of less than a class of lengths (``_base``) are not halved: they all meet.
+    """
+    small, opened, rows = None, None, rows.withColumn("whole", F.lit(False))
     while True:
-        keyed = _keyed(index, edits, "b", False)
-        cut = index.where(F.col("size") >= 2 * (edits + 1))
-        hot = stored(_keyed(cut, edits, "b", False).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_LINES).select("key"))
-        last = hot.isEmpty()
-        met = _keyed(probes, edits, "a", True).join(keyed if last else keyed.join(hot, "key", "left_anti"), "key").where("a <> b")
-        more = F.col("size_a") - F.col("size_b")
-        met = met.where(more.between(0, edits) & _profiles_agree(F.col("profile_a"), F.col("profile_b"), 2 * edits - more))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        if last:
-            return (met if pairs is None else pairs.unionAll(met)).distinct()
-        # written out, so that the plan does not grow with the levels
-        met = stored(met.distinct())
-        pairs = met if pairs is None else pairs.unionAll(met)
-        probes, index = (_rests(side, hot, edits, probe) for side, probe in ((probes, True), (index, False)))
-
-
-def _rests(lines: DataFrame, hot: DataFrame, edits: int, probe: bool) -> DataFrame:
-    """What lines have besides a hot segment, under its key, with their letter counts; lines to be keyed again."""
-    shared = _keyed(lines, edits, "h1", probe, True).join(hot, "key", "left_semi")
-    return stored(shared.select("h1", F.col("key").alias("under"), F.col("rest").alias("line"), F.length("rest").alias("size"), F.col("profile_h1").alias("profile")))
+        rows = stored(rows)
+        asked = F.when(F.col("own"), F.col("size"))
+        groups = rows.groupBy("under").agg(F.count_if("own").alias("there"), F.min(asked).alias("least"), F.max(asked).alias("most"), (F.min("h1") < F.max("h1")).alias("several"))
+        rows = stored(rows.join(groups.where("several AND there > 0").drop("several"), "under"))
+        meet = F.col("whole") | (F.col("there") <= HOT_LINES)
+        ended, hot = rows.where(meet), rows.where(~meet)
+        small = ended if small is None else small.unionByName(ended)
+        if hot.isEmpty():
+            break
+        opened = hot if opened is None else opened.unionByName(hot)
+        rows = _halved(hot, edits, less)
+    side = lambda held, h: held.select("under", F.col("h1").alias(h), F.col("size").alias(f"size_{h}"), F.col("profile").alias(f"profile_{h}"))
+    pairs = _allowed(side(small, "a").join(side(small.where("own"), "b"), "under"), edits, less)
+    return stored((pairs if opened is None or edits == 1 else pairs.unionAll(_on_both_sides(opened, edits, less))).distinct())
+
+
+def _cut_like(rows: DataFrame, edits: int, less: int, choices: list[dict]) -> DataFrame:
+    """Every row with each of the choices ``c``, cut like the lines that it may be near to, as far as lines of such lengths
+    are asked for under its key; ``n`` is the length whose cuts it takes, and ``own`` stays where that is its own."""
+    own = _base(F.col("size"), edits)
+    lengths = F.array_distinct(F.array(own, *(_base(F.col("size") + more, edits) for more in (-edits, less))))
+    there = F.filter(lengths, lambda n: n.between(_base(F.col("least"), edits), _base(F.col("most"), edits)))
+    made = lambda n: F.array(*(F.struct(n.alias("n"), *(F.lit(v).alias(k) for k, v in c.items())) for c in choices))
+    each = rows.withColumn("c", F.explode(F.flatten(F.transform(there, made))))
+    return each.withColumn("n", F.col("c.n")).withColumn("own", F.col("own") & (F.col("n") == own))
+
+
+def _halved(rows: DataFrame, edits: int, less: int) -> DataFrame:
+    """What lines have besides their first and their last half, each under its key."""
+    each = _cut_like(rows, edits, less, [{"tail": False}, {"tail": True}]).where("n > 0 OR NOT c.tail").withColumn("long", F.floor(F.col("n") / 2).cast("int")).where("long <= size")
+    tail, line, left = F.col("c.tail"), F.col("line"), (F.col("size") - F.col("long")).cast("int")
+    half = F.when(tail, line.substr(left + 1, F.col("long"))).otherwise(line.substr(F.lit(1), F.col("long")))
+    rest = F.when(tail, line.substr(F.lit(1), left)).otherwise(line.substr(F.col("long") + 1, left))
+    return each.select("h1", F.xxhash64("under", "n", tail, half).alias("under"), rest.alias("line"), left.alias("size"), "profile", "own", (F.col("n") == 0).alias("whole"))
+
+
+def _on_both_sides(rows: DataFrame, edits: int, less: int) -> DataFrame:
+    """(a, b) of ``rows`` under one key that have fewer than ``edits`` edits before the last half, and as few in it.
+
+    The last halves are compared by themselves, each once however many lines have it, then what stands before them in
+    the lines whose last half is near another one. A probe may be cut before or behind by the edits.
+    """
+    each = _cut_like(rows, edits, less, [{"shift": s} for s in range(1 - edits, edits)]).withColumn("own", F.col("own") & (F.col("c.shift") == 0))
+    each = each.withColumn("at", F.col("size") - F.floor(F.col("n") / 2).cast("int") - F.col("c.shift")).where("n > 0 AND at BETWEEN 0 AND size")
+    before, behind = F.col("line").substr(F.lit(1), F.col("at")), F.col("line").substr(F.col("at") + 1, F.col("size"))
+    key = lambda side, *more: F.xxhash64("under", "n", F.lit(side), *more)
+    probes = stored(each.select(
+        "h1", "size", "profile", "own", before.alias("x"), behind.alias("y"), key("x").alias("under_x"), key("y").alias("under_y"),
+        key("x", before).alias("id_x"), key("y", behind).alias("id_y"),
+    ))
+    index = probes.where("own").select("h1", "size", "profile", "x", "under_x", F.col("id_x").alias("to_x"), F.col("id_y").alias("to_y"))
+    last = _strings(probes.select(F.col("id_y").alias("h1"), F.col("under_y").alias("under"), F.col("y").alias("line"), "own"), edits - 1)
+    probes = stored(probes.join(last.select(F.col("a").alias("id_y"), F.col("b").alias("to_y")), "id_y"))
+    index = stored(index.join(last.select(F.col("b").alias("to_y")).distinct(), "to_y", "left_semi"))
+    firsts = probes.select("id_x", "under_x", "x", F.lit(False)).unionAll(index.select("to_x", "under_x", "x", F.lit(True)))
+    first = _strings(firsts.toDF("h1", "under", "line", "own"), edits - 1)
+    side = lambda held, h, *more: held.select(F.col("h1").alias(h), F.col("size").alias(f"size_{h}"), F.col("profile").alias(f"profile_{h}"), *more)
+    asking = side(probes, "a", "id_x", "to_y").join(first.select(F.col("a").alias("id_x"), F.col("b").alias("to_x")), "id_x")
+    return _allowed(asking.join(side(index, "b", "to_x", "to_y"), ["to_x", "to_y"]), edits, less)
+
+
+def _strings(rows: DataFrame, edits: int) -> DataFrame:
+    """(a, b) of different strings under one key, of which b is marked ``own``, that are within ``edits`` edits."""
+    each = rows.groupBy("h1", "under", "line").agg(F.bool_or("own").alias("own"))
+    each = stored(each.withColumn("size", F.length("line")).withColumn("profile", profile(F.col("line"))))
+    line = lambda h: each.select(F.col("h1").alias(h), F.col("line").alias(f"line_{h}"))
+    found = _near(each, edits, edits).join(line("a"), "a").join(line("b"), "b")
+    return stored(found.where(F.levenshtein("line_a", "line_b", edits) >= 0).select("a", "b"))
 
 
 def profile(line: Column) -> Column:

@@ -231,6 +231,20 @@ def test_near_copies_make_few_pairs(spark):
     assert {(3, 120), (5, 121)} <= pairs and len(pairs) < 1500  # of 7,381
 
 
+def test_remainders_of_near_copies_are_bounded(spark, monkeypatch):
+    """What near copies have besides shared parts stays a few rows a line at every level, and no link is lost."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    whole = "".join(rng.choice(letters + "    ") for _ in range(720))
+    rows = [whole[:i] + "".join(rng.sample(letters, 4)) + whole[i:] for i in rng.choices(range(1, 719), k=300)]
+    rows += [rows[3][:200] + rows[3][202:], "#" + rows[5] + "#"]
+    kept, stored = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df: (out := stored(df), kept.append(out.count() if {"h1", "under"} <= set(out.columns) else 0))[0])
+    held = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(rows)], "h1 long, line string, size int")
+    pairs = {(r["a"], r["b"]) for r in lines._met(held, lines.EDITS).collect()}
+    assert {(3, 300), (5, 301)} <= pairs and max(kept) < 10_000
+
+
 def test_edits_anywhere_in_lines_of_any_length(spark):
     """Two edits at any places of lines that are cut like the shorter one or otherwise, the ends included."""
     rng = random.Random(22)
