@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import written
-from .sketch import blocks
+from .sketch import blocks, small
 
 
 def _rank(order: list[Column]) -> Column:
@@ -190,47 +190,89 @@ def _agreeing(slots: int, least: float) -> int:
     return 0
 
 
-def sketch_similarity(queries: DataFrame, refs: DataFrame, k: int = 5, n: int = 40, least: float = 0.0) -> DataFrame:
-    """Jaccard similarity of the k-letter substrings of queries and references that share a band of signatures and have
-    ``least`` or more.
+def _mistaken(least: float, n: int) -> int:
+    """Bands that a pair of similarity ``least`` or more may seem to share, by four bits of each minimum, before the first
+    that it does share, but for a share of ``LOST`` squared."""
+    wrong = 2 * least * (1 - least) / 16 + (1 - least) ** 2 / 256
+    share = wrong / (wrong + least**2)
+    return next((m for m in range(n) if share ** (m + 1) <= LOST**2), n)
+
+
+def _met(classes: DataFrame, n: int, least: float) -> DataFrame:
+    """(a, b): classes of different numbers that share a band and whose signatures don't show that they are below ``least``.
+
+    The signatures travel with the bands, so that only what passes is listed; near copies meet in nearly every band, of
+    which only the first ones count.
+    """
+    longs = range(-(-2 * n // 16))
+    banded = classes.select("num", "is_query", "is_ref", "n_shingles", *(F.element_at("symbols", i + 1).alias(f"s{i}") for i in longs), F.posexplode("bands").alias("slot", "value"))
+    a, b = banded.alias("a"), banded.alias("b")
+    total = lambda xs: sum(xs, F.lit(0))
+    ones = lambda x: F.shiftrightunsigned(x, 1).bitwiseOR(x)
+    apart = [F.shiftrightunsigned(ones(x), 2).bitwiseOR(ones(x)).bitwiseAND(F.lit(0x1111111111111111)) for x in (F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}")) for i in longs)]
+    differ = total(F.bit_count(x) for x in apart)
+    alike = [F.bitwise_not(F.shiftrightunsigned(x, 4).bitwiseOR(x)).bitwiseAND(F.lit(0x0101010101010101)) for x in apart]
+    # eight bands in a number: those before this slot
+    before = lambda i: F.when(F.col("a.slot") >= 8 * i + 8, F.lit(-1).cast("long")).when(F.col("a.slot") <= 8 * i, F.lit(0).cast("long")).otherwise(F.expr(f"shiftleft(1L, 8 * (a.slot - {8 * i})) - 1L"))
+    seemed = total(F.bit_count(x.bitwiseAND(before(i))) for i, x in enumerate(alike))
+    asked = F.expr("(a.is_query AND b.is_ref) OR (b.is_query AND a.is_ref)")
+    near = (F.least("a.n_shingles", "b.n_shingles") >= least * F.greatest("a.n_shingles", "b.n_shingles")) & (differ <= 2 * n - _agreeing(2 * n, least)) & (seemed <= _mistaken(least, n))
+    met = a.join(b, F.expr("a.slot = b.slot AND a.value = b.value AND a.num < b.num") & asked & near)
+    return met.select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct()
+
+
+def similar(sequences: DataFrame, k: int = 5, n: int = 40, least: float = 0.0) -> DataFrame:
+    """(query, ref, similarity): Jaccard similarity of the k-letter substrings of queries and references that share a band
+    of signatures and have ``least`` or more. ``sequences`` has id, seq, is_query and is_ref.
 
     The bands only find the candidates: a pair of similarity s is among them with probability 1 - (1 - s ** 2) ** n, at
     40 bands 0.99999 for s = 0.5. Those whose numbers of substrings or whose signatures show that they are below ``least``
-    go, and what is left is counted from the substrings. Equal texts are one class, compared once; a text travels once
-    for every cell of two blocks that it has candidates in.
+    go, and what is left is counted from the substrings. Equal texts are one class, compared once, and two classes meet
+    once for both directions. Neighbours lie in one block where they can; a text travels once for every cell of two
+    blocks that it has candidates in.
     """
-    side = lambda df, a: df.where("seq IS NOT NULL").select("id", "seq", F.lit(a).alias("is_query"), F.unhex(F.md5(F.col("seq").cast("binary"))).alias("cls"))
-    asked, held = side(queries, True), side(refs, False)
-    texts = asked.unionByName(held).groupBy("cls").agg(F.first("seq").alias("seq"), F.bool_or("is_query").alias("is_query"), F.bool_or(~F.col("is_query")).alias("is_ref"))
-    classes = written(shingle_signatures(texts, k, n))
-    bands = lambda kind, c: classes.where(kind).select(F.col("cls").alias(c), F.posexplode("bands").alias("slot", "value"))
-    met = bands("is_query", "q").join(bands("is_ref", "r"), ["slot", "value"]).where("q <> r").select("q", "r").distinct()
-    said = lambda c: classes.select(F.col("cls").alias(c), F.col("symbols").alias(f"{c}_symbols"), F.col("n_shingles").alias(f"{c}_n"))
-    other = F.zip_with("q_symbols", "r_symbols", lambda a, b: a.bitwiseXOR(b))
-    ones = lambda x: F.shiftright(x, 1).bitwiseOR(x)
-    unlike = lambda x: F.bit_count(F.shiftright(ones(x), 2).bitwiseOR(ones(x)).bitwiseAND(F.lit(0x1111111111111111)))
-    differ = F.aggregate(other, F.lit(0), lambda s, x: s + unlike(x))
-    near = (F.least("q_n", "r_n") >= least * F.greatest("q_n", "r_n")) & (differ <= 2 * n - _agreeing(2 * n, least))
-    pairs = written(met.join(said("q"), "q").join(said("r"), "r").where(near).select("q", "r"))
-
-    def counted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sets, out = {r: _shingles(y, k) for r, y in zip(right["r"], right["y"], strict=True)}, []
-        for q, x, found in zip(left["q"], left["x"], left["found"], strict=True):
-            u = _shingles(x, k)
-            for r in found:
-                v = sets[r]
-                same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-                out.append((q, r, same / (len(u) + len(v) - same)))
-        return pd.DataFrame(out, columns=["q", "r", "similarity"])
-
-    placed = written(blocks(classes.select("cls", F.element_at("bands", 1).alias("least"), F.col("n_shingles").alias("n")), SHINGLES))
+    rows = sequences.where("seq IS NOT NULL AND (is_query OR is_ref)").select("id", "seq", "is_query", "is_ref", F.unhex(F.md5(F.col("seq").cast("binary"))).alias("cls"))
+    members = written(rows.drop("seq"))
+    signed = shingle_signatures(rows, k, n).drop("seq")
+    classes = signed.groupBy("cls").agg(F.min("id").alias("first"), F.bool_or("is_query").alias("is_query"), F.bool_or("is_ref").alias("is_ref"), *(F.first(c).alias(c) for c in ("bands", "symbols", "n_shingles")))
+    classes = written(classes.withColumn("num", F.monotonically_increasing_id()))
+    pairs = written(_met(classes, n, least))
+    turned = pairs.unionAll(pairs.select("b", "a"))
+    labels = turned.groupBy(F.col("a").alias("num")).agg(F.least("num", F.min("b")).alias("least"))
+    sized = written(labels.join(classes.select("num", F.col("n_shingles").alias("n")), "num"))
+    placed = written(blocks(sized.withColumnRenamed("num", "cls"), SHINGLES))
     at = lambda c: placed.select(F.col("cls").alias(c), F.col("block").alias(f"{c}_block"))
-    cells = written(pairs.join(at("q"), "q").join(at("r"), "r"))
-    text = lambda c, name: classes.select(F.col("cls").alias(c), F.col("seq").alias(name))
-    left = cells.groupBy("q_block", "r_block", "q").agg(F.collect_list("r").alias("found")).join(text("q", "x"), "q")
-    right = cells.select(F.col("q_block").alias("u"), F.col("r_block").alias("v"), "r").distinct().join(text("r", "y"), "r")
-    judged = left.groupBy("q_block", "r_block").cogroup(right.groupBy("u", "v")).applyInPandas(counted, "q binary, r binary, similarity double")
-    equal = classes.where("is_query AND is_ref").select(F.col("cls").alias("q"), F.col("cls").alias("r"), F.lit(1.0).alias("similarity"))
-    links = judged.where(F.col("similarity") >= least).unionAll(equal)
-    named = lambda df, c, name: df.select(F.col("cls").alias(c), F.col("id").alias(name))
-    return links.join(named(asked, "q", "query"), "q").join(named(held, "r", "ref"), "r").select("query", "ref", "similarity")
+    cells = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("a_block", "b_block").alias("x"), F.greatest("a_block", "b_block").alias("y"))
+    cells = written(cells)
+    found = cells.select("x", "y", F.col("a").alias("num"), F.col("b").alias("other")).unionAll(cells.select("x", "y", F.col("b").alias("num"), F.lit(None).cast("long").alias("other")))
+    found = found.groupBy("x", "y", "num").agg(F.collect_list("other").alias("found")).join(classes.select("num", "cls", "first"), "num")
+    held = rows.select("cls", "id", "seq").join(small(written(found)), "cls").where(F.col("id").eqNullSafe(F.col("first"))).select("x", "y", "num", "found", "seq")
+
+    def counted(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates("num")  # an id may stand in several rows
+        sets = [_shingles(t, k) for t in cell["seq"]]
+        size = [len(x) for x in sets]
+        _, entry = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = dict(zip(cell["num"], np.split(entry, np.cumsum(size)[:-1]), strict=True))
+        own, out = np.zeros(entry.max() + 1, bool), []
+        for a, others in zip(cell["num"], cell["found"], strict=True):
+            if len(others):
+                own[u := sets[a]] = True
+                for b in others:
+                    same = int(np.count_nonzero(own[v := sets[b]]))
+                    out.append((a, b, same / (len(u) + len(v) - same)))
+                own[u] = False
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    judged = written(held.groupBy("x", "y").applyInPandas(counted, "a long, b long, similarity double").where(F.col("similarity") >= least))
+    names = members.join(classes.select("cls", "num"), "cls")
+    named = lambda kind, c, name: names.where(kind).select(F.col("num").alias(c), F.col("id").alias(name))
+    equal = classes.where("is_query AND is_ref").select(F.col("num").alias("a"), F.col("num").alias("b"), F.lit(1.0).alias("similarity"))
+    links = judged.unionAll(judged.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionAll(equal)
+    return links.join(named("is_query", "a", "query"), "a").join(named("is_ref", "b", "ref"), "b").select("query", "ref", "similarity")
+
+
+def sketch_similarity(queries: DataFrame, refs: DataFrame, k: int = 5, n: int = 40, least: float = 0.0) -> DataFrame:
+    """:func:`similar` of queries and references in tables of their own, with id and seq."""
+    side = lambda df, asks: df.select("id", "seq", F.lit(asks).alias("is_query"), F.lit(not asks).alias("is_ref"))
+    return similar(side(queries, True).unionByName(side(refs, False)), k, n, least)
